@@ -7,15 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op4_bpe
+from .chat import op5_chat, op5_sql
+from .dedup import op1_near_dedup
 from .packing import op7_packing
+from .quality import op2_quality
+from .toxicity import op3_toxicity
+from .urls import op8_urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_near_dedup": op1_near_dedup,
+        "op2_quality": op2_quality,
+        "op3_toxicity": op3_toxicity,
         "op4_bpe": op4_bpe,
+        "op5_chat": op5_chat,
         "op7_packing": op7_packing,
+        "op8_urls": op8_urls,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_chat": op5_sql()}
