@@ -315,6 +315,21 @@ def _texts(docs: DataFrame, sk: DataFrame, need: DataFrame, k: int) -> DataFrame
     return map_arrow(both, "uid long, text binary", make).dropDuplicates(["uid"])
 
 
+def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The documents that represent their group, with all their columns.
+
+    Documents without an id are kept. Rows that repeat both id and text are kept once; of rows that
+    share an id but not the text all are kept if one represents its group.
+    """
+    scratch = Scratch(docs.sparkSession)
+    ids = scratch.save(near_duplicates(docs, shingle, percent).where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("rows")), "kept")
+    out = docs.join(ids.where(~F.col("kept")).select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    again = ids.where("kept and rows > 1").select("doc_id")
+    if again.isEmpty():
+        return out
+    return out.join(again, "doc_id", "left_anti").select(*docs.columns).union(out.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns))
+
+
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of near copies among all documents, on 2-word shingles."""
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
