@@ -1,6 +1,6 @@
 """Toxicity by multiple-instance learning: sentences are scored, documents are labelled.
 
-A sentence has the probability sigmoid(bias + sum of the weights of its distinct words); a document is
+A sentence has the probability sigmoid(bias + sum of the weights of its distinct words and stems); a document is
 toxic unless every sentence is harmless and a small leak does not strike (noisy-or):
 1 - (1 - leak) * product(1 - p). The weights are learnt from document labels by gradient descent on
 this likelihood, from at most ``SAMPLE`` labelled documents and ``WORDS`` words; the bias stays so low
@@ -27,13 +27,23 @@ from .common import crc_mod, map_arrow, table
 
 #: Labelled documents to learn from, at most (those of the least hash), and words in the model, at most.
 SAMPLE, WORDS = 8_000, 4_096
-#: A word is considered from so many sample documents.
-LEAST = 4
-BIAS, RIDGE, STEPS, RATE = -12.0, 2e-3, 300, 0.3
+#: A word is considered from so many sample documents, and from this log likelihood ratio on.
+LEAST, GAIN = 4, 16.0
+BIAS, RIDGE, STEPS, RATE = -12.0, 1e-4, 300, 2.0
+#: Weight that a word starts with; harmless documents take it away.
+START = 14.0
+#: Besides the word, its beginnings of these lengths are features (stems of inflected words).
+STEMS = (4, 5, 6, 7)
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"\w+")
 
 
+def features(text: str) -> set[str]:
+    """The distinct lower-case words of a text and their stems."""
+    words = set(WORD.findall(text.lower()))
+    return words.union(*({w[:k] + "*" for w in words if len(w) > k} for k in STEMS))
+
+
 class NoisyOr:
     """The fitted model: word weights and the leak."""
 
@@ -44,15 +54,15 @@ class NoisyOr:
         """``(start, end, probability)`` of the sentences that hold a word of the model; others are neutral."""
         weights, out = self.weights, []
         for m in SENTENCE.finditer(text):
-            known = {w for w in WORD.findall(m[0].lower()) if w in weights}
+            known = features(m[0]) & weights.keys()
             if known:
-                z = BIAS + sum(weights[w] for w in known)
+                z = BIAS + sum(weights[w] for w in sorted(known))
                 out.append((m.start(), m.end(), 1 / (1 + math.exp(-z)) if z > -700 else 0.0))
         return out
 
     def score(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
         # Lower-casing never joins or splits words, so a text without a known word has no such sentence.
-        found = self.spans(text) if not self.weights.keys().isdisjoint(WORD.findall(text.lower())) else []
+        found = self.spans(text) if not self.weights.keys().isdisjoint(features(text)) else []
         safe = 1 - self.leak
         for _, _, p in found:
             safe *= 1 - p
@@ -65,41 +75,40 @@ def fit(texts: list[str], toxic: list[int]) -> NoisyOr:
     n, positives = len(y), float(y.sum())
     if not positives or positives == n:
         return NoisyOr({}, min(max(positives / n if n else 0.0, 0.0), 0.4))
-    bags = [[set(WORD.findall(s.lower())) for s in SENTENCE.findall(t)] for t in texts]
+    # Two passes over the texts rather than their words in memory; only words of toxic documents are counted.
     df, hits = Counter(), Counter()
-    for sentences, label in zip(bags, toxic, strict=True):
-        words = set().union(*sentences)
-        df.update(words)
+    for t, label in zip(texts, toxic, strict=True):
         if label:
-            hits.update(words)
+            hits.update(features(t))
+    for t in texts:
+        df.update(features(t) & hits.keys())
     # Words that toxic documents hold more often than chance, by the likelihood ratio.
     rate, gain = positives / n, {}
     for w, k in hits.items():
         if (d := df[w]) >= LEAST and k / d > rate:
             gain[w] = k * math.log(k / d / rate) + ((d - k) * math.log((d - k) / d / (1 - rate)) if d > k else 0.0)
-    chosen = sorted((w for w in gain if gain[w] > 8.0), key=lambda w: (-gain[w], w))[:WORDS]
+    chosen = sorted((w for w in gain if gain[w] > GAIN), key=lambda w: (-gain[w], w))[:WORDS]
     index = {w: i for i, w in enumerate(chosen)}
     doc, sent, word, count = [], [], [], 0
-    for d, sentences in enumerate(bags):
-        for s in sentences:
-            known = [index[w] for w in s if w in index]
+    for d, t in enumerate(texts):
+        for s in SENTENCE.findall(t):
+            known = sorted(index[w] for w in features(s) & index.keys())
             if known:
                 sent += [count] * len(known)
                 word += known
                 doc.append(d)
                 count += 1
     doc_, sent_, word_ = np.array(doc, np.int64), np.array(sent, np.int64), np.array(word, np.int64)
-    w, m, v = np.full(len(chosen), 8.0), np.zeros(len(chosen)), np.zeros(len(chosen))
+    w, spread = np.full(len(chosen), START), np.array([df[t] for t in chosen], np.float64)
     leak = 0.02
-    for step in range(1, STEPS + 1):
+    for _ in range(STEPS):
         z = BIAS + np.bincount(sent_, w[word_], count)
         p = 1 / (1 + np.exp(-z))
         safe = np.bincount(doc_, np.log1p(-np.minimum(p, 1 - 1e-12)), n)
         odd = 1 - (1 - leak) * np.exp(safe)
         blame = np.where(y > 0, -(1 - odd) / np.maximum(odd, 1e-9), 1.0)
-        slope = np.bincount(word_, (blame[doc_] * p)[sent_], len(chosen)) + RIDGE * n / 100 * w
-        m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope**2
-        w = w - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        slope = np.bincount(word_, (blame[doc_] * p)[sent_], len(chosen))
+        w = w - RATE * (slope / spread + RIDGE * w)
         # The leak's share of the toxic documents that the sentences leave unexplained.
         leak = float(np.clip((y * leak / np.maximum(odd, 1e-9)).sum() / max(1.0, (1 - y).sum() + (y * leak / np.maximum(odd, 1e-9)).sum()), 1e-4, 0.4))
     return NoisyOr({t: float(x) for t, x in zip(chosen, w, strict=True) if abs(x) > 0.05}, leak)
