@@ -12,11 +12,13 @@ one class; everything below works on classes, so copies never meet in pairs.
   Pairs more than ``MARGIN`` below the threshold go; sets of few shingles skip this step.
 * Verification: candidates that remain are compared on their full sets.
 
-Within a band's bucket every class is first compared with one pivot. Buckets whose classes then lie
-in one component need no more. In the others, every class is compared with a pivot drawn anew for
-each bucket (verifying only its few best), and last all classes of different components with each
-other: by a join in small buckets, block against block in large ones. No candidate pair between two
-components is left untested.
+In buckets of two, both classes are compared; in larger ones, every class with the pivots of its
+``PIVOTS`` largest buckets. What passes is verified, and the links' components are found. In buckets
+whose classes still lie in several components, classes are estimated against each other, block against
+block, and a spanning forest of the pairs that pass is kept. The components of all pairs that passed
+hold every possible link; where one holds several components of links, its classes are verified
+against each other, again block against block. No candidate pair between two components is left
+untested, and neither step returns more rows than it reads.
 
 Inputs and edge cases: a text that is null or has no word has an empty set and is linked with
 nothing; a text of fewer words than a shingle has its whole sequence as its only shingle; long texts
@@ -28,7 +30,7 @@ representative while its group has another id; an empty table gives an empty one
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -44,9 +46,9 @@ BANDS, ROWS = 42, 6
 MARGIN = 0.15
 #: Sets below this size are verified without an estimate.
 SMALL = 48
-#: Buckets up to ``FEW`` classes are compared by a join, larger ones in blocks of ``BLOCK``.
-FEW, BLOCK = 16, 512
-#: Pairs with drawn pivots that are verified, for a class.
+#: Classes in a block; a task compares two blocks, or many buckets of up to one block.
+BLOCK = 512
+#: Pivots that a class is compared with first, besides the pairs of buckets of two.
 PIVOTS = 3
 WORDS = WordHashes()
 
@@ -126,7 +128,7 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _estimated(pairs: DataFrame, sk: DataFrame, threshold: float) -> DataFrame:
-    """Pairs ``x, y`` of classes whose estimate ``e`` doesn't rule them out."""
+    """Pairs ``x, y`` of classes whose estimate doesn't rule them out."""
     rx = sk.select(F.col("uid").alias("x"), F.col("n").alias("nx"), F.col("regs").alias("gx"))
     ry = sk.select(F.col("uid").alias("y"), F.col("n").alias("ny"), F.col("regs").alias("gy"))
 
@@ -135,14 +137,13 @@ def _estimated(pairs: DataFrame, sk: DataFrame, threshold: float) -> DataFrame:
             x, y, nx, ny = (b.column(c).to_numpy(zero_copy_only=False) for c in range(4))
             gx = np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint16).reshape(-1, BUCKETS)
             gy = np.frombuffer(b"".join(b.column(5).to_pylist()), np.uint16).reshape(-1, BUCKETS)
-            equal = (gx == gy).mean(axis=1)
-            keep = _may_link(equal, nx, ny, threshold)
-            return pa.RecordBatch.from_arrays([pa.array(x[keep]), pa.array(y[keep]), pa.array(estimate(equal, nx, ny)[keep])], names=["x", "y", "e"])
+            keep = _may_link((gx == gy).mean(axis=1), nx, ny, threshold)
+            return pa.RecordBatch.from_arrays([pa.array(x[keep]), pa.array(y[keep])], names=["x", "y"])
 
         return fn
 
     both = pairs.join(rx, "x").join(ry, "y").select("x", "y", "nx", "ny", "gx", "gy")
-    return map_arrow(both, "x long, y long, e double", make)
+    return map_arrow(both, "x long, y long", make)
 
 
 def _may_link(equal: np.ndarray, nx: np.ndarray, ny: np.ndarray, threshold: float) -> np.ndarray:
@@ -150,8 +151,16 @@ def _may_link(equal: np.ndarray, nx: np.ndarray, ny: np.ndarray, threshold: floa
     return (small >= threshold * large - 1e-9) & ((small < SMALL) | (estimate(equal, nx, ny) >= threshold - MARGIN))
 
 
+def linked(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
+    """Whether 100 * intersection >= ``percent`` * union of two sorted sets."""
+    small, large = (s, t) if len(s) < len(t) else (t, s)
+    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    both = int((large[at] == small).sum())
+    return 100 * both >= percent * (len(s) + len(t) - both)
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """``x, y, linked`` of each pair, by its full sets."""
+    """The pairs that are linked, by their full sets."""
     tx = texts.select(F.col("uid").alias("x"), F.col("text").alias("tx"))
     ty = texts.select(F.col("uid").alias("y"), F.col("text").alias("ty"))
 
@@ -159,20 +168,16 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
         last: list = [None, None]
 
         def fn(b: pa.RecordBatch) -> pa.RecordBatch:
-            linked = []
+            found = []
             for y, a, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 if last[0] != y:
                     last[:] = y, shingle_set(c, k)
-                s, t = shingle_set(a, k), last[1]
-                small, large = (s, t) if len(s) < len(t) else (t, s)
-                at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                both = int((large[at] == small).sum())
-                linked.append(100 * both >= percent * (len(s) + len(t) - both))
-            return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(linked, pa.bool_())], names=["x", "y", "linked"])
+                found.append(linked(shingle_set(a, k), last[1], percent))
+            return b.select(["x", "y"]).filter(pa.array(found, pa.bool_()))
 
         return fn
 
-    return map_arrow(pairs.join(tx, "x").join(ty, "y").select("x", "y", "tx", "ty"), "x long, y long, linked boolean", make)
+    return map_arrow(pairs.join(tx, "x").join(ty, "y").select("x", "y", "tx", "ty"), "x long, y long", make)
 
 
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
@@ -200,49 +205,97 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     return nodes.union(nodes.select(F.col("root").alias("node"), "root").distinct())
 
 
-def _pivot_pairs(rest: DataFrame) -> DataFrame:
-    """Every class with the pivot that the least hash picks in its bucket, if it is of another component."""
-    dealt = rest.withColumn("h", F.xxhash64("uid", "bucket"))
-    least = dealt.groupBy("bucket").agg(F.min("h").alias("h"))
-    pivots = dealt.join(least, ["bucket", "h"]).select("bucket", F.col("uid").alias("pivot"), F.col("comp").alias("at"))
-    both = dealt.join(pivots, "bucket").where("comp <> at")
-    return both.select(F.greatest("uid", "pivot").alias("x"), F.least("uid", "pivot").alias("y")).distinct()
+def _first_pairs(members: DataFrame) -> DataFrame:
+    """The pair of each bucket of two, and every class with the pivots of its largest buckets."""
+    order = Window.partitionBy("uid").orderBy(F.desc("size"), "pivot", "bucket")
+    large = members.where("size > 2").withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= PIVOTS)
+    both = large.select("uid", "pivot").union(members.where("size = 2").select("uid", "pivot"))
+    return both.where("uid <> pivot").select(F.col("uid").alias("x"), F.col("pivot").alias("y")).distinct()
+
+
+class Forest:
+    """Union-find over component labels."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def find(self, a: int) -> int:
+        up = self.up
+        while (b := up.get(a, a)) != a:
+            up[a] = up.get(b, b)
+            a = b
+        return a
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.find(a), self.find(b)
+        if a != b:
+            self.up[max(a, b)] = min(a, b)
+        return a != b
 
 
-def _few_pairs(rest: DataFrame) -> DataFrame:
-    """All pairs between components in buckets of at most ``FEW`` classes."""
-    few = rest.where(F.col("size") <= FEW)
-    a, b = few.select("bucket", F.col("uid").alias("x"), F.col("comp").alias("cx")), few.select("bucket", F.col("uid").alias("y"), F.col("comp").alias("cy"))
-    return a.join(b, "bucket").where("x > y and cx <> cy").select("x", "y").distinct()
+def _spanning(left: np.ndarray, right: np.ndarray, uid: np.ndarray, comp: np.ndarray, n: np.ndarray, regs: np.ndarray, threshold: float, test: Callable[[int, int], bool]) -> list[tuple[int, int]]:
+    """Pairs of different components, from ``left`` and ``right``, that pass the estimate and ``test``; as few as join them."""
+    forest, out = Forest(), []
+    for a in left:
+        other = right[comp[right] != comp[a]]
+        if not len(other):
+            continue
+        ok = _may_link((regs[other] == regs[a]).mean(axis=1), n[other], np.full(len(other), n[a]), threshold)
+        for b in other[ok]:
+            if forest.find(int(comp[a])) != forest.find(int(comp[b])) and test(a, b):
+                forest.join(int(comp[a]), int(comp[b]))
+                out.append((int(max(uid[a], uid[b])), int(min(uid[a], uid[b]))))
+    return out
 
 
-def _block_pairs(rest: DataFrame, sk: DataFrame, threshold: float) -> DataFrame:
-    """Candidate pairs between components in larger buckets, block against block.
+def _blocks(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` (``key, uid, comp, size``) by pairs of blocks ``i, j`` of a key's classes, ``own`` being a class's block.
 
-    A class goes to every pair of blocks that holds its own, so a large bucket is spread over
-    many tasks, and a task holds two blocks.
+    A class goes to every pair that holds its own block, so a large key is spread over many tasks.
     """
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("uid"), blocks).cast("int")
-    dealt = rest.where(F.col("size") > FEW).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "uid", "comp").join(sk, "uid")
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64("uid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return dealt.select(key, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "uid", "comp")
+
+
+def _arrays(rows: pa.Table, *names: str) -> list[np.ndarray]:
+    return [rows[c].to_numpy() for c in names]
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.Table:
+    x, y = zip(*found, strict=True) if found else ((), ())
+    return pa.table({"x": pa.array(x, pa.int64()), "y": pa.array(y, pa.int64())})
+
+
+def _estimated_forest(rest: DataFrame, sk: DataFrame, threshold: float) -> DataFrame:
+    """Pairs that pass the estimate and join the components within each bucket. ``rest``: ``bucket, uid, comp, size``."""
 
     def run(rows: pa.Table) -> pa.Table:
-        own_, uid, comp, n = (rows[c].to_numpy() for c in ("own", "uid", "comp", "n"))
-        i, j = rows["i"][0].as_py(), rows["j"][0].as_py()
-        g = np.frombuffer(b"".join(rows["regs"].to_pylist()), np.uint16).reshape(-1, BUCKETS)
-        left, right = np.flatnonzero(own_ == i), np.flatnonzero(own_ == j)
-        xs, ys = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for a in left:
-            other = right[(comp[right] != comp[a]) & ((uid[right] > uid[a]) | (i != j))]
-            if len(other):
-                ok = _may_link((g[other] == g[a]).mean(axis=1), n[other], np.full(len(other), n[a]), threshold)
-                xs.append(np.full(int(ok.sum()), uid[a]))
-                ys.append(uid[other[ok]])
-        x, y = np.concatenate(xs), np.concatenate(ys)
-        return pa.table({"x": np.maximum(x, y), "y": np.minimum(x, y)})
-
-    return dealt.groupBy("bucket", "i", "j").applyInArrow(run, "x long, y long").distinct()
+        bucket, own, i, j, uid, comp, n = _arrays(rows, "bucket", "own", "i", "j", "uid", "comp", "n")
+        regs = np.frombuffer(b"".join(rows["regs"].to_pylist()), np.uint16).reshape(-1, BUCKETS)
+        order = np.argsort(bucket, kind="stable")
+        found = []
+        for at in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+            found += _spanning(at[own[at] == i[at]], at[own[at] == j[at]], uid, comp, n, regs, threshold, lambda a, b: True)
+        return _pairs(found)
+
+    dealt = _blocks(rest, "bucket").join(sk, "uid")
+    # Buckets of one block share tasks; the pairs of blocks of larger ones have a task each.
+    tasks = F.when(F.col("i") == F.col("j"), F.pmod("bucket", F.lit(4096))).otherwise(F.col("bucket"))
+    return dealt.withColumn("task", tasks).groupBy("task", "i", "j").applyInArrow(run, "x long, y long").distinct()
+
+
+def _verified_forest(groups: DataFrame, sk: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links that join the components within each group, by full sets. ``groups``: ``group, uid, comp, size``."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        own, i, j, uid, comp, n = _arrays(rows, "own", "i", "j", "uid", "comp", "n")
+        regs = np.frombuffer(b"".join(rows["regs"].to_pylist()), np.uint16).reshape(-1, BUCKETS)
+        sets = [shingle_set(t, k) for t in rows["text"].to_pylist()]
+        return _pairs(_spanning(np.flatnonzero(own == i), np.flatnonzero(own == j), uid, comp, n, regs, percent / 100, lambda a, b: linked(sets[a], sets[b], percent)))
+
+    dealt = _blocks(groups, "group").join(sk, "uid").join(texts, "uid")
+    return dealt.groupBy("group", "i", "j").applyInArrow(run, "x long, y long").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -263,34 +316,24 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     members = scratch.save(bands.join(shared, "bucket").select("bucket", "uid", "pivot", "size"), "members")
     slim = sk.select("uid", "n", "regs")
 
-    first = scratch.save(_estimated(members.where("uid <> pivot").select(F.col("uid").alias("x"), F.col("pivot").alias("y")).distinct(), slim, threshold), "pairs")
-    # Buckets of two have had their only pair; larger ones may need texts later on.
-    need = first.select(F.col("x").alias("uid")).union(first.select(F.col("y").alias("uid"))).union(members.where("size > 2").select("uid")).distinct()
-    texts = scratch.save(_texts(docs, sk, need, shingle), "texts")
-    done = scratch.save(_verified(first, texts, shingle, percent), "links")
-    scratch.drop(first)
-    comps = scratch.save(components(scratch, done.where("linked").select("x", "y")), "components")
-    open_ = members.where("size > 2").select("bucket", "uid", "size")
-    for last in (False, True):
-        lab = open_.join(comps, open_["uid"] == comps["node"], "left").select("bucket", "uid", "size", F.coalesce("root", "uid").alias("comp"))
-        mixed = lab.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("bucket")
-        rest = scratch.save(lab.join(mixed, "bucket", "left_semi"), "rest")
-        tested = done.where("not linked").select("x", "y")
-        if last:
-            few = _estimated(_few_pairs(rest).join(tested, ["x", "y"], "left_anti"), slim, threshold).select("x", "y")
-            found = few.union(_block_pairs(rest, slim, threshold).join(tested, ["x", "y"], "left_anti")).distinct()
-        else:
-            near = _estimated(_pivot_pairs(rest).join(tested, ["x", "y"], "left_anti"), slim, threshold)
-            best = Window.partitionBy("x").orderBy(F.desc("e"), "y")
-            found = near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= PIVOTS).select("x", "y")
-        pairs = scratch.save(found, "pairs")
-        if not pairs.isEmpty():
-            more = scratch.save(_verified(pairs, texts, shingle, percent), "links")
-            done = done.union(more)
-            if not more.where("linked").isEmpty():
-                comps = scratch.save(components(scratch, done.where("linked").select("x", "y")), "components")
-        scratch.drop(pairs, rest)
-    scratch.drop(texts, members)
+    first = scratch.save(_estimated(_first_pairs(members), slim, threshold), "pairs")
+    texts = scratch.save(_texts(docs, sk, _ends(first), shingle), "texts")
+    links = scratch.save(_verified(first, texts, shingle, percent), "links")
+    comps = scratch.save(components(scratch, links), "components")
+    large = _labelled(members.where("size > 2").select("bucket", "uid", "size"), comps)
+    rest = scratch.save(large.join(_mixed(large, "bucket"), "bucket", "left_semi"), "rest")
+    more = scratch.save(_estimated_forest(rest, slim, threshold), "pairs")
+    if not more.isEmpty():
+        # Components of all pairs that passed; those that hold several components of links are verified whole.
+        near = scratch.save(components(scratch, first.union(more)), "components")
+        sizes = near.groupBy("root").agg(F.count("*").alias("size"))
+        groups = _labelled(near.join(sizes, "root").select(F.col("root").alias("group"), F.col("node").alias("uid"), "size"), comps)
+        groups = scratch.save(groups.join(_mixed(groups, "group"), "group", "left_semi"), "groups")
+        scratch.drop(texts)
+        texts = scratch.save(_texts(docs, sk, groups.select("uid"), shingle), "texts")
+        links = links.union(scratch.save(_verified_forest(groups, slim, texts, shingle, percent), "links"))
+        comps = scratch.save(components(scratch, links), "components")
+    scratch.drop(texts, members, rest)
     named = classes.join(comps, classes["uid"] == comps["node"], "left").select("key", "low", F.coalesce("root", "uid").alias("root"))
     lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
     of_key = named.join(lows, "root").select("key", "component_id")
@@ -299,6 +342,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     return out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(False)).alias("kept"))
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("x").alias("uid")).union(pairs.select(F.col("y").alias("uid"))).distinct()
+
+
+def _labelled(rows: DataFrame, comps: DataFrame) -> DataFrame:
+    """``rows`` with ``comp``, the component of ``uid``."""
+    labels = comps.select(F.col("node").alias("uid"), F.col("root").alias("comp"))
+    return rows.join(labels, "uid", "left").withColumn("comp", F.coalesce("comp", "uid"))
+
+
+def _mixed(rows: DataFrame, key: str) -> DataFrame:
+    """Keys whose rows lie in several components."""
+    return rows.groupBy(key).agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select(key)
+
+
 def _texts(docs: DataFrame, sk: DataFrame, need: DataFrame, k: int) -> DataFrame:
     """``uid, text`` of the classes in ``need``; rows that share an id but not the set go by their key."""
     wanted = sk.join(need, "uid", "left_semi").select("uid", F.col("doc_id").alias("_id"), "key")
