@@ -71,14 +71,14 @@ def source_mix(flows: DataFrame) -> DataFrame:
 
 def interval_stats(series: DataFrame, starts: str = "starts") -> DataFrame:
     """Regularity of start times: events, positive gaps, mean gap, population deviation over mean, span, rate."""
-    secs = F.transform(F.array_sort(F.col(starts)), lambda x: x / 1e6)
-    n = F.size(secs)
-    gaps = F.filter(F.transform(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), lambda i: F.get(secs, i - 1) - F.get(secs, i - 2)), lambda g: g > 0)
+    us = F.array_sort(F.col(starts))
+    n = F.size(us)
+    gaps = F.filter(F.transform(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), lambda i: (F.get(us, i - 1) - F.get(us, i - 2)) / 1e6), lambda g: g > 0)
     out = series.withColumn("_g", gaps).withColumn("events", n.cast("long")).withColumn("gaps", F.size("_g").cast("long"))
     mean = F.aggregate("_g", F.lit(0.0), lambda a, g: a + g) / F.col("gaps")
     out = out.withColumn("mean_gap", F.when(F.col("gaps") > 0, mean))
     var = F.aggregate("_g", F.lit(0.0), lambda a, g: a + (g - F.col("mean_gap")) * (g - F.col("mean_gap"))) / F.col("gaps")
-    span = F.element_at(secs, -1) - F.get(secs, F.lit(0))
+    span = (F.element_at(us, -1) - F.get(us, F.lit(0))) / 1e6
     return out.withColumn("cv", F.when(F.col("mean_gap") > 0, F.sqrt(var) / F.col("mean_gap")).otherwise(1e9)).withColumn("span", F.coalesce(span, F.lit(0.0))).withColumn("rate", F.when(F.col("span") > 0, F.col("events") / F.col("span")).otherwise(0.0)).drop("_g")
 
 

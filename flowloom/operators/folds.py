@@ -13,12 +13,13 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 
 def ordered_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], inputs: Sequence[str], output: str, step: Callable[[object, tuple], tuple[object, object]], kind: str = "long") -> DataFrame:
     """``df`` with the column ``output``: ``step(state, inputs)`` gives ``(state, value)``; a key's first state is None."""
-    schema = df.schema.add(output, kind)
     names = df.columns
+    schema = StructType([*df.schema.fields, StructField(output, StringType() if kind == "string" else LongType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, state = None, None
