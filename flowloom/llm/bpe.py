@@ -78,7 +78,8 @@ class WordBPE:
         self.inner = [vocab[c] for c in byte_alphabet()]
         self.last = [vocab[c + WORD_END] for c in byte_alphabet()]
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.names = [self.tokens.get(i, "") for i in range(max(self.tokens) + 1)]
+        #: Tokens by id; the last stands for ids that there are not.
+        self.names = np.array([self.tokens.get(i, "") for i in range(max(self.tokens) + 2)], object)
         self.seen: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -140,8 +141,12 @@ class WordBPE:
 
     def decode(self, ids: list[int]) -> str:
         """The vocabulary has no decoder: tokens, special ones too, joined by a space; unknown ids give nothing."""
-        names, n = self.names, len(self.names)
-        return " ".join([names[i] for i in ids if i < n and names[i]])
+        return self.decode_all(np.array(ids, np.int64), np.array([0, len(ids)]))[0]
+
+    def decode_all(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
+        """The texts of many lists of ids that lie one after another."""
+        known = self.names[np.where((ids >= 0) & (ids < len(self.names)), ids, len(self.names) - 1)]
+        return [" ".join(filter(None, known[a:b].tolist())) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
 
 
 class LibraryBPE(WordBPE):
@@ -198,7 +203,11 @@ def decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id") -> DataF
         bpe = load(vocabulary)
 
         def fn(b: pa.RecordBatch) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([bpe.decode(x or []) for x in b.column(1).to_pylist()], pa.string())], names=[id_col, "ids", "decoded"])
+            lists = b.column(1)
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            sizes = np.array([n or 0 for n in lists.value_lengths().to_pylist()], np.int64)
+            texts = bpe.decode_all(flat, np.concatenate([[0], np.cumsum(sizes)]))
+            return pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(texts, pa.string())], names=[id_col, "ids", "decoded"])
 
         return fn
 

@@ -27,14 +27,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The local folder of a session that names none, by application.
+_LOCAL: dict[str, str] = {}
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; where it is unset (tests), a local one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        import tempfile
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL:
+            import tempfile
 
-        root = "file://" + tempfile.mkdtemp(prefix="scratch-")
-        spark.conf.set("spark.checkpoint.dir", root)
+            _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="scratch-")
+        root = _LOCAL[app]
     return root.rstrip("/")
 
 

@@ -13,12 +13,12 @@ one class; everything below works on classes, so copies never meet in pairs.
 * Verification: candidates that remain are compared on their full sets.
 
 In buckets of two, both classes are compared; in larger ones, every class with the pivots of its
-``PIVOTS`` largest buckets. What passes is verified, and the links' components are found. In buckets
-whose classes still lie in several components, classes are estimated against each other, block against
-block, and a spanning forest of the pairs that pass is kept. The components of all pairs that passed
-hold every possible link; where one holds several components of links, its classes are verified
-against each other, again block against block. No candidate pair between two components is left
-untested, and neither step returns more rows than it reads.
+``PIVOTS`` largest buckets. What passes the estimate is verified. In buckets whose classes the passed
+pairs leave in several components, classes are estimated against each other, block against block, and
+a spanning forest of the pairs that pass is added. The components of all pairs that passed hold every
+possible link; where one holds several components of links, its classes are verified against each
+other, again block against block. No candidate pair between two components of links is left untested,
+and neither step returns more rows than it reads.
 
 Inputs and edge cases: a text that is null or has no word has an empty set and is linked with
 nothing; a text of fewer words than a shingle has its whole sequence as its only shingle; long texts
@@ -47,7 +47,7 @@ MARGIN = 0.15
 #: Sets below this size are verified without an estimate.
 SMALL = 48
 #: Classes in a block; a task compares two blocks, or many buckets of up to one block.
-BLOCK = 512
+BLOCK, SHARED = 512, 10_000
 #: Pivots that a class is compared with first, besides the pairs of buckets of two.
 PIVOTS = 3
 WORDS = WordHashes()
@@ -280,8 +280,9 @@ def _estimated_forest(rest: DataFrame, sk: DataFrame, threshold: float) -> DataF
         return _pairs(found)
 
     dealt = _blocks(rest, "bucket").join(sk, "uid")
-    # Buckets of one block share tasks; the pairs of blocks of larger ones have a task each.
-    tasks = F.when(F.col("i") == F.col("j"), F.pmod("bucket", F.lit(4096))).otherwise(F.col("bucket"))
+    # Buckets of one block share groups of about SHARED classes; the pairs of blocks of larger ones have a group each.
+    groups = max(1, -(-rest.count() // SHARED))
+    tasks = F.when(F.col("i") == F.col("j"), F.pmod("bucket", F.lit(groups))).otherwise(F.col("bucket"))
     return dealt.withColumn("task", tasks).groupBy("task", "i", "j").applyInArrow(run, "x long, y long").distinct()
 
 
@@ -317,21 +318,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     slim = sk.select("uid", "n", "regs")
 
     first = scratch.save(_estimated(_first_pairs(members), slim, threshold), "pairs")
-    texts = scratch.save(_texts(docs, sk, _ends(first), shingle), "texts")
+    texts = scratch.save(_texts(scratch, docs, sk, _ends(first), shingle), "texts")
     links = scratch.save(_verified(first, texts, shingle, percent), "links")
     comps = scratch.save(components(scratch, links), "components")
-    large = _labelled(members.where("size > 2").select("bucket", "uid", "size"), comps)
+    # Components of the pairs that passed the estimate; only buckets that hold several need more estimates.
+    near = scratch.save(components(scratch, first), "near")
+    large = _labelled(members.where("size > 2").select("bucket", "uid", "size"), near)
     rest = scratch.save(large.join(_mixed(large, "bucket"), "bucket", "left_semi"), "rest")
     more = scratch.save(_estimated_forest(rest, slim, threshold), "pairs")
     if not more.isEmpty():
-        # Components of all pairs that passed; those that hold several components of links are verified whole.
-        near = scratch.save(components(scratch, first.union(more)), "components")
-        sizes = near.groupBy("root").agg(F.count("*").alias("size"))
-        groups = _labelled(near.join(sizes, "root").select(F.col("root").alias("group"), F.col("node").alias("uid"), "size"), comps)
-        groups = scratch.save(groups.join(_mixed(groups, "group"), "group", "left_semi"), "groups")
-        scratch.drop(texts)
-        texts = scratch.save(_texts(docs, sk, groups.select("uid"), shingle), "texts")
-        links = links.union(scratch.save(_verified_forest(groups, slim, texts, shingle, percent), "links"))
+        near = scratch.save(components(scratch, first.union(more)), "near")
+    # Those that hold several components of links are verified whole.
+    sizes = near.groupBy("root").agg(F.count("*").alias("size"))
+    groups = _labelled(near.join(sizes, "root").select(F.col("root").alias("group"), F.col("node").alias("uid"), "size"), comps)
+    groups = scratch.save(groups.join(_mixed(groups, "group").select("group"), "group", "left_semi"), "groups")
+    if not groups.isEmpty():
+        more_texts = scratch.save(_texts(scratch, docs, sk, groups.select("uid").join(texts.select("uid"), "uid", "left_anti"), shingle), "texts")
+        links = links.union(scratch.save(_verified_forest(groups, slim, texts.union(more_texts), shingle, percent), "links"))
         comps = scratch.save(components(scratch, links), "components")
     scratch.drop(texts, members, rest)
     named = classes.join(comps, classes["uid"] == comps["node"], "left").select("key", "low", F.coalesce("root", "uid").alias("root"))
@@ -357,9 +360,12 @@ def _mixed(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select(key)
 
 
-def _texts(docs: DataFrame, sk: DataFrame, need: DataFrame, k: int) -> DataFrame:
-    """``uid, text`` of the classes in ``need``; rows that share an id but not the set go by their key."""
-    wanted = sk.join(need, "uid", "left_semi").select("uid", F.col("doc_id").alias("_id"), "key")
+def _texts(scratch: Scratch, docs: DataFrame, sk: DataFrame, need: DataFrame, k: int) -> DataFrame:
+    """``uid, text`` of the classes in ``need``; rows that share an id but not the set go by their key.
+
+    What is wanted is written first, so that Spark knows its size before it deals out all texts.
+    """
+    wanted = scratch.save(sk.join(need, "uid", "left_semi").select("uid", F.col("doc_id").alias("_id"), "key"), "wanted")
     raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     both = raw.join(wanted, raw["doc_id"].eqNullSafe(wanted["_id"])).select("uid", "key", "text")
 
@@ -381,7 +387,8 @@ def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession)
     ids = scratch.save(near_duplicates(docs, shingle, percent).where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("rows")), "kept")
-    out = docs.join(ids.where(~F.col("kept")).select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    dropped = scratch.save(ids.where(~F.col("kept")).select("doc_id"), "dropped")
+    out = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
     again = ids.where("kept and rows > 1").select("doc_id")
     if again.isEmpty():
         return out
@@ -391,3 +398,24 @@ def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of near copies among all documents, on 2-word shingles."""
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
+
+
+def op1_sql() -> str:
+    """DuckDB SQL for ``op1_near_dedup``: all pairs that share a shingle, and what links reach."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, [w for w in string_split_regex(translate(coalesce(text, ''), '{upper}', '{lower}'), '[\\x20\\x09-\\x0D]+') if w <> ''] AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, w[i] || ' ' || w[i + 1] AS s FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM words)
+  UNION ALL SELECT doc_id, w[1] FROM words WHERE len(w) = 1
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), links AS (
+  SELECT p.a, p.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2) p
+  JOIN sizes u ON u.doc_id = p.a JOIN sizes v ON v.doc_id = p.b WHERE 100 * shared >= 80 * (u.n + v.n - shared)
+), edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM reach r JOIN edges e ON e.a = r.b
+), low AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, l.component_id, d.doc_id = l.component_id AS kept
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN low l ON l.a = d.doc_id
+"""

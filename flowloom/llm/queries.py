@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from .ann import op10_ann
 from .bpe import op4_bpe
 from .chat import op5_chat, op5_sql
-from .dedup import op1_near_dedup
+from .dedup import op1_near_dedup, op1_sql
 from .licenses import op6_licenses
 from .packing import op7_packing
 from .ppm import op9_lm_score
 from .quality import op2_quality
 from .toxicity import op3_toxicity
-from .urls import op8_urls
+from .urls import op8_sql, op8_urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -34,4 +34,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat": op5_sql()}
+    return {"op1_near_dedup": op1_sql(), "op5_chat": op5_sql(), "op8_urls": op8_sql()}

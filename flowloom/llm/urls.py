@@ -124,3 +124,40 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, labels:
 def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict on every page's url."""
     return judge(table(spark, sf_dir, "pages").select("page_id", "url"))
+
+
+def op8_sql() -> str:
+    """DuckDB SQL for ``op8_urls``."""
+    digit = "regexp_matches({}, '[0-9]')"
+    fits = {r: f"((host = '{r.partition('/')[0]}' OR ends_with(host, '.{r.partition('/')[0]}')) AND starts_with(path, '/{r.partition('/')[2]}'))" for _, r in RULES}
+    rule = "CASE " + " ".join(f"WHEN {fits[r]} THEN '{r}'" for r in sorted(fits, key=lambda r: (-len(r), r))) + " END"
+    verdict = "CASE " + " ".join(f"WHEN rule = '{r}' THEN '{v}'" for v, r in RULES) + " END"
+    seeds = ", ".join(f"'{x}'" for x in SEEDS)
+    steps = [
+        f"""raw AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{UPPER}', '{LOWER}') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages)""",
+        f"ruled AS (SELECT *, {rule} AS rule FROM raw)",
+        f"""state0 AS (SELECT *, CASE WHEN rule IS NOT NULL THEN CASE WHEN {verdict} = 'block' THEN 1 ELSE 0 END WHEN list_has_any(string_split_regex(host, '[.-]'), [{seeds}]) THEN 1 END AS label,
+  [x for x in string_split(path, '/') if x <> ''] AS segs, '' AS template FROM ruled)""",
+    ]
+
+    def off(seen: str, size: str) -> str:
+        expected = f"({size} * sum({seen}) OVER g / sum({size}) OVER g)"
+        return f"(CASE WHEN {expected} > 0 THEN ({seen} - {expected}) ** 2 / {expected} ELSE 0 END)"
+
+    for d in range(DEPTH):
+        steps += [
+            f"at{d} AS (SELECT *, segs[{d + 1}] AS seg, CASE WHEN segs[{d + 2}] IS NULL THEN 0 WHEN {digit.format(f'segs[{d + 2}]')} THEN 1 ELSE 2 END AS nxt FROM state{d})",
+            f"total{d} AS (SELECT host, template, count(*) AS total FROM at{d} WHERE seg IS NOT NULL GROUP BY ALL)",
+            f"""named{d} AS (SELECT host, template, seg, count(*) AS n, count(label) AS l, coalesce(sum(label), 0) AS b, count(label) - coalesce(sum(label), 0) AS a, {', '.join(f'count(*) FILTER (WHERE nxt = {k}) AS k{k}' for k in range(3))}
+  FROM at{d} WHERE seg IS NOT NULL AND NOT {digit.format('seg')} GROUP BY host, template, seg)""",
+            f"kept{d} AS (SELECT * FROM named{d} JOIN total{d} USING (host, template) WHERE n >= {LEAST} AND n >= {RARE} * total)",
+            f"""like{d} AS (SELECT *, {off('k0', 'n')} + {off('k1', 'n')} + {off('k2', 'n')} <= {CHI2} AND (CASE WHEN l > 0 THEN {off('b', 'l')} + {off('a', 'l')} ELSE 0 END) <= {CHI1} AS alike FROM kept{d} WINDOW g AS (PARTITION BY host, template, l > 0))""",
+            f"label{d} AS (SELECT host, template, seg, CASE WHEN alike AND count(*) FILTER (WHERE alike) OVER (PARTITION BY host, template, l > 0) > 1 THEN CASE WHEN l > 0 THEN '(labelled)' ELSE '(unlabelled)' END ELSE seg END AS name FROM like{d})",
+            f"""state{d + 1} AS (SELECT s.page_id, s.host, s.path, s.rule, s.label, s.segs, CASE WHEN s.seg IS NULL THEN s.template ELSE s.template || '/' || coalesce(k.name, '*') END AS template
+  FROM at{d} s LEFT JOIN label{d} k ON s.host = k.host AND s.template = k.template AND s.seg = k.seg)""",
+        ]
+    steps += [
+        f"final AS (SELECT * REPLACE (CASE WHEN len(segs) > {DEPTH} THEN template || '/**' ELSE template END AS template) FROM state{DEPTH})",
+        f"pure AS (SELECT host, template, (CAST(coalesce(sum(label), 0) AS DOUBLE) + CAST({PRIOR * WEIGHT} AS DOUBLE)) / (count(label) + CAST({WEIGHT} AS DOUBLE)) AS purity FROM final GROUP BY ALL)",
+    ]
+    return "WITH " + ", ".join(steps) + f" SELECT page_id, host, path, rule, coalesce({verdict}, CASE WHEN purity >= {PURITY} THEN 'block' ELSE 'allow' END) AS verdict, template, purity FROM final JOIN pure USING (host, template)"
