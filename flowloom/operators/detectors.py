@@ -199,3 +199,23 @@ def transition_allowed(current: Column, target: Column) -> Column:
 
 #: Detectors by name: functions from their aggregate to result rows.
 REGISTRY: dict[str, Callable[..., DataFrame]] = {"c2_beacon": c2_beacon, "dns_names": dns_names, "handshake_repetition": handshake_repetition, "recon": recon, "exfil": exfil, "ddos_model": ddos_model}
+
+
+def run_detectors(inputs: dict[str, DataFrame], registry: dict[str, Callable[..., DataFrame]] | None = None) -> tuple[DataFrame | None, dict[str, str]]:
+    """Results of all detectors that have an input, united, and the status of each.
+
+    A detector that cannot be planned is degraded and does not stop the others.
+    """
+    united, status = None, {}
+    for name, detector in (registry or REGISTRY).items():
+        if name not in inputs:
+            status[name] = "idle"
+            continue
+        try:
+            out = detector(inputs[name]).select(*RESULT)
+        except Exception as e:  # any failure of one detector is its own
+            status[name] = f"degraded: {type(e).__name__}"
+            continue
+        status[name] = "ok"
+        united = out if united is None else united.unionByName(out)
+    return united, status

@@ -253,9 +253,9 @@ def dashboard_document(spark, sf_dir):
     return doc.document(alerts(spark, sf_dir))
 
 
-@query(f"""WITH {ALERT_SQL} SELECT src, threat_class, coalesce(s.status, 'TRIAGING') AS status FROM (SELECT DISTINCT src, threat_class FROM al) a LEFT JOIN (SELECT '10.0.0.' || CAST(c_custkey AS VARCHAR) AS ip, 'CONTAINED' AS status FROM customer WHERE c_custkey < 100) s ON a.src = s.ip""")
+@query(f"""WITH {ALERT_SQL} SELECT src, threat_class, coalesce(s.status, 'TRIAGING') AS status FROM (SELECT DISTINCT src, threat_class FROM al) a LEFT JOIN (SELECT '10.0.0.' || CAST(c_custkey AS VARCHAR) AS ip, 'CONTAINED' AS status FROM customer WHERE c_mktsegment = 'BUILDING') s ON a.src = s.ip""")
 def incident_sidecar(spark, sf_dir):
-    side = table(spark, sf_dir, "customer").where("c_custkey < 100").select(F.concat(F.lit("10.0.0."), F.col("c_custkey").cast("string")).alias("src"), F.lit("CONTAINED").alias("status"))
+    side = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.concat(F.lit("10.0.0."), F.col("c_custkey").cast("string")).alias("src"), F.lit("CONTAINED").alias("status"))
     a = alerts(spark, sf_dir).select("src", "threat_class").distinct()
     return a.join(side, "src", "left").select("src", "threat_class", F.coalesce("status", F.lit("TRIAGING")).alias("status"))
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowloom.operators.flows import HOUR
+from flowloom.operators.flows import EVENT_LIMITS, HOUR
+from flowloom.plans.flow_sql import early_sql
 from flowloom.plans.registry import query
-from flowloom.streaming.processors import causal_windows, cooldowns, sessions, tumbling
+from flowloom.streaming.processors import causal_windows, cooldowns, guarded_windows, pair_series_stream, sessions, tumbling
 from flowloom.streaming.runs import event_stream, run_available
 
 DAY_US = 24 * HOUR
@@ -41,3 +42,17 @@ SELECT user_id, event_id, emitted FROM walk""")
 def cooldown_stream(spark, sf_dir):
     errors = event_stream(spark, sf_dir).where("event_type = 'error'")
     return run_available(cooldowns(errors, "user_id", 518400.0))
+
+
+@query("SELECT user_id AS src, event_id % 3 AS dst, count(*) AS events, least(count(*), 16) AS kept, min(epoch_us(ts)) AS first_us FROM events GROUP BY ALL")
+def pair_state_stream(spark, sf_dir):
+    """The series of every pair after the last batch; at most sixteen starts are kept."""
+    rows = event_stream(spark, sf_dir).withWatermark("ts", "1 day").select("ts", F.col("user_id").alias("src"), (F.col("event_id") % 3).alias("dst"), "event_id", F.unix_micros("ts").alias("ts_us"))
+    out = run_available(pair_series_stream(rows, 16, 90 * 86_400_000), "update")
+    return out.groupBy("src", "dst").agg(F.max("events").alias("events"), F.max("kept").alias("kept"), F.min("first_us").alias("first_us"))
+
+
+@query(f"WITH RECURSIVE keyed AS (SELECT user_id AS lo, 0 AS hi, 0 AS proto, event_id AS pkt_no, epoch_us(ts) AS ts_us FROM events), {early_sql(DAY_US)} SELECT lo AS user_id, pkt_no AS event_id, win_no FROM walk")
+def guarded_window_stream(spark, sf_dir):
+    lim = EVENT_LIMITS
+    return run_available(guarded_windows(event_stream(spark, sf_dir), "user_id", DAY_US, lim.timeout_us, lim.activity_cap_us, lim.packet_cap))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from flowloom.operators.folds import cooldown_step, reanchor_step
+from flowloom.operators.folds import cooldown_step, early_step, reanchor_step
 
 
 def stateful_fold(stream: DataFrame, key: str, order: str, inputs: list[str], columns: list[str], output: str, step: Callable, state_schema: str, idle_ms: int | None = None) -> DataFrame:
@@ -48,6 +48,13 @@ def causal_windows(stream: DataFrame, key: str, width_us: int) -> DataFrame:
     return stateful_fold(rows, key, "event_id", ["ts_us"], [key, "event_id"], "win_no", reanchor_step(width_us), "number long, start long")
 
 
+def guarded_windows(stream: DataFrame, key: str, width_us: int, timeout_us: int, activity_cap_us: int, packet_cap: int) -> DataFrame:
+    """One causal window an instance: a frozen window takes no more rows until a gap or a cap ends it (0)."""
+    rows = stream.withColumn("ts_us", F.unix_micros("ts")).select(key, "event_id", "ts_us")
+    step = early_step(width_us, timeout_us, activity_cap_us, packet_cap)
+    return stateful_fold(rows, key, "event_id", ["ts_us"], [key, "event_id"], "win_no", step, "number long, active boolean, start long, last long, n long")
+
+
 def cooldowns(stream: DataFrame, key: str, wait_s: float) -> DataFrame:
     """Which alerts are emitted, given the wait after an emission."""
     rows = stream.withColumn("ts_s", F.unix_micros("ts") / 1e6).select(key, "event_id", "ts_s")
@@ -73,3 +80,25 @@ def sessions(stream: DataFrame, gap: str, delay: str, key: str) -> DataFrame:
 def first_of_each(stream: DataFrame, delay: str, keys: list[str]) -> DataFrame:
     """The first row of each key within the watermark; later ones are dropped."""
     return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
+
+
+def pair_series_stream(stream: DataFrame, most: int = 256, ttl_ms: int = 900_000) -> DataFrame:
+    """Updates of every pair's series: how many starts there were, and the first ``most`` of them.
+
+    ``stream`` has ``src, dst, event_id, ts_us`` and a watermark on ``ts``; a pair's state goes when event
+    time passes its last start by ``ttl_ms``.
+    """
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        new = pd.concat(list(batches)).sort_values(["ts_us", "event_id"], kind="stable")["ts_us"].tolist()
+        held, n = state.get if state.exists else ([], 0)
+        held = [*held, *new[: max(0, most - len(held))]]
+        state.update((held, n + len(new)))
+        state.setTimeoutTimestamp(new[-1] // 1000 + ttl_ms)
+        yield pd.DataFrame({"src": [key[0]], "dst": [key[1]], "events": [n + len(new)], "kept": [len(held)], "first_us": [held[0]]})
+
+    schema = "src long, dst long, events long, kept long, first_us long"
+    return stream.groupBy("src", "dst").applyInPandasWithState(run, schema, "starts array<long>, n long", "update", GroupStateTimeout.EventTimeTimeout)

@@ -7,14 +7,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The local folder of a session that names none, by application.
+_LOCAL: dict[str, str] = {}
+
+
 def work_folder(spark: SparkSession) -> str:
     """A new folder in ``spark.checkpoint.dir``; where that is unset (tests), in a local one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        import tempfile
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL:
+            import tempfile
 
-        root = "file://" + tempfile.mkdtemp(prefix="streams-")
-        spark.conf.set("spark.checkpoint.dir", root)
+            _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="streams-")
+        root = _LOCAL[app]
     return f"{root.rstrip('/')}/streams-{uuid.uuid4().hex}"
 
 
