@@ -48,8 +48,8 @@ def curve(scored: DataFrame, keys: list[str] | None = None) -> DataFrame:
 def average_precision_auc(scored: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Step-wise average precision, and ROC-AUC with half ties; null on one class."""
     c = curve(scored, keys)
-    ap = F.sum(F.col("pos") / F.col("all_pos") * (F.col("tp") / (F.col("tp") + F.col("fp"))))
-    auc = F.sum((F.col("neg") / F.col("all_neg")) * ((F.col("tp") - F.col("pos") / 2) / F.col("all_pos")))
+    ap = F.sum(F.try_divide("pos", "all_pos") * (F.col("tp") / (F.col("tp") + F.col("fp"))))
+    auc = F.sum(F.try_divide("neg", "all_neg") * F.try_divide(F.col("tp") - F.col("pos") / 2, F.col("all_pos")))
     return c.groupBy(*(keys or [])).agg(ap.alias("average_precision"), auc.alias("roc_auc"))
 
 

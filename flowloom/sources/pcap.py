@@ -21,7 +21,7 @@ from typing import BinaryIO
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from flowloom.functions.text import mapped_or_slug
 
@@ -158,31 +158,27 @@ class _Reader(DataSourceReader):
             yield from rows(os.path.basename(partition.path), f, self.options.get("fraction", "us"))
 
 
-class _StreamReader(SimpleDataSourceStreamReader):
-    """New capture files of a folder, some a batch, in order of their names."""
+class _StreamReader(DataSourceStreamReader):
+    """Capture files that are added to a folder, in order of their names; each is read by one task."""
 
     def __init__(self, options: dict) -> None:
         self.options = options
 
+    def _names(self) -> list[str]:
+        return sorted(glob.glob(os.path.join(self.options["path"].removeprefix("file://"), "*.pcap")))
+
     def initialOffset(self) -> dict:
         return {"done": ""}
 
-    def _batch(self, after: str, upto: str | None) -> list[str]:
-        names = sorted(glob.glob(os.path.join(self.options["path"].removeprefix("file://"), "*.pcap")))
-        names = [n for n in names if n > after and (upto is None or n <= upto)]
-        return names if upto is not None else names[: int(self.options.get("maxFilesPerTrigger", 16))]
-
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        names = self._batch(start["done"], None)
-        return self._rows(names), {"done": names[-1] if names else start["done"]}
+    def latestOffset(self, *_) -> dict:
+        return {"done": max(self._names(), default="")}
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return self._rows(self._batch(start["done"], end["done"]))
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        return [_File(n) for n in self._names() if start["done"] < n <= end["done"]]
 
-    def _rows(self, names: list[str]) -> Iterator[tuple]:
-        for n in names:
-            with open(n, "rb", buffering=1 << 22) as f:
-                yield from rows(os.path.basename(n), f, self.options.get("fraction", "us"))
+    def read(self, partition: _File) -> Iterator[tuple]:
+        with open(partition.path, "rb", buffering=1 << 22) as f:
+            yield from rows(os.path.basename(partition.path), f, self.options.get("fraction", "us"))
 
     def commit(self, end: dict) -> None:
         pass
@@ -199,7 +195,7 @@ class PcapDataSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _Reader(dict(self.options))
 
-    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
+    def streamReader(self, schema) -> DataSourceStreamReader:
         return _StreamReader(dict(self.options))
 
 

@@ -14,7 +14,7 @@ FLOWS = "src string, dst string, dst_port int, start_us long, end_us long, n_pac
 @pytest.fixture
 def folder(spark, tmp_path):
     for part in range(3):
-        rows = spark.range(part * 100, part * 100 + 100).selectExpr("id AS event_id", "id % 4 AS user_id", "timestamp_seconds(id * 7) AS ts", "CAST(id AS DOUBLE) AS value")
+        rows = spark.range(part * 100, part * 100 + 100).selectExpr("id AS event_id", "id % 4 AS user_id", "timestamp_seconds(1000 + id * 7) AS ts", "CAST(id AS DOUBLE) AS value")
         rows.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     return f"{tmp_path}/in"
 
