@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows per Arrow batch. Texts reach hundreds of kilobytes, so a batch is kept small.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 
 
 def arrow_session(df: DataFrame) -> SparkSession:
@@ -50,7 +50,8 @@ class Scratch:
     ``drop`` removes a table that nothing reads any more; what is left goes when the driver ends.
     """
 
-    def __init__(self, spark: SparkSession) -> None:
+    def __init__(self, spark: SparkSession, codec: str = "zstd") -> None:
+        self.codec = codec
         self.spark, self.root = spark, f"{scratch_root(spark)}/flowloom-{uuid.uuid4().hex}"
         self._n = 0
         atexit.register(self.close)
@@ -59,7 +60,7 @@ class Scratch:
         self._n += 1
         path = f"{self.root}/{self._n:03d}-{name}"
         schema = df.schema
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", self.codec).parquet(path)
         out = self.spark.read.schema(schema).parquet(path)
         out._scratch_path = path
         return out
@@ -107,7 +108,7 @@ def crc_mod(doc_id: str, mod: int) -> "F.Column":
 class WordHashes(dict):
     """64-bit hash of a word, computed once a word; bounded by starting afresh."""
 
-    LIMIT = 1_000_000
+    LIMIT = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

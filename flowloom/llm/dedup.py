@@ -306,7 +306,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     that links reach.
     """
     spark = docs.sparkSession
-    scratch = Scratch(spark)
+    scratch = Scratch(spark, "snappy")  # many small tables: no native buffers for each
     threshold = percent / 100
     sk = scratch.save(sketches(docs, shingle), "sketches")
     ids = sk.groupBy("key").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("low")).where("key is not null")
@@ -318,7 +318,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     slim = sk.select("uid", "n", "regs")
 
     first = scratch.save(_estimated(_first_pairs(members), slim, threshold), "pairs")
-    texts = scratch.save(_texts(scratch, docs, sk, _ends(first), shingle), "texts")
+    # One pass over the texts serves both verifications: large buckets may need theirs later on.
+    need = _ends(first).union(members.where("size > 2").select("uid")).distinct()
+    texts = scratch.save(_texts(docs, sk, need, shingle), "texts")
     links = scratch.save(_verified(first, texts, shingle, percent), "links")
     comps = scratch.save(components(scratch, links), "components")
     # Components of the pairs that passed the estimate; only buckets that hold several need more estimates.
@@ -333,8 +335,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     groups = _labelled(near.join(sizes, "root").select(F.col("root").alias("group"), F.col("node").alias("uid"), "size"), comps)
     groups = scratch.save(groups.join(_mixed(groups, "group").select("group"), "group", "left_semi"), "groups")
     if not groups.isEmpty():
-        more_texts = scratch.save(_texts(scratch, docs, sk, groups.select("uid").join(texts.select("uid"), "uid", "left_anti"), shingle), "texts")
-        links = links.union(scratch.save(_verified_forest(groups, slim, texts.union(more_texts), shingle, percent), "links"))
+        links = links.union(scratch.save(_verified_forest(groups, slim, texts, shingle, percent), "links"))
         comps = scratch.save(components(scratch, links), "components")
     scratch.drop(texts, members, rest)
     named = classes.join(comps, classes["uid"] == comps["node"], "left").select("key", "low", F.coalesce("root", "uid").alias("root"))
@@ -360,12 +361,12 @@ def _mixed(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select(key)
 
 
-def _texts(scratch: Scratch, docs: DataFrame, sk: DataFrame, need: DataFrame, k: int) -> DataFrame:
+def _texts(docs: DataFrame, sk: DataFrame, need: DataFrame, k: int) -> DataFrame:
     """``uid, text`` of the classes in ``need``; rows that share an id but not the set go by their key.
 
-    What is wanted is written first, so that Spark knows its size before it deals out all texts.
+    What is wanted grows with the documents, so both are dealt by id at every size.
     """
-    wanted = scratch.save(sk.join(need, "uid", "left_semi").select("uid", F.col("doc_id").alias("_id"), "key"), "wanted")
+    wanted = sk.join(need, "uid", "left_semi").select("uid", F.col("doc_id").alias("_id"), "key").hint("merge")
     raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     both = raw.join(wanted, raw["doc_id"].eqNullSafe(wanted["_id"])).select("uid", "key", "text")
 
