@@ -166,6 +166,54 @@ def test_grams_of_texts():
     assert find(np.array([7, 5, 1 << 20], np.uint32)).tolist() == [2.5, 0.5, 1.5]
 
 
+def test_fifth_order_equals_a_trie_and_sums_to_one():
+    import math
+    from collections import Counter, defaultdict
+
+    texts = [b"abracadabra", b"cadabra abracadabra", b"banana band", b"", b"\x00\xff odd"]
+    seen = [defaultdict(Counter) for _ in range(6)]
+    for t in texts:
+        z = b"\0" * 5 + t + b"\0"
+        for k in range(5, len(z)):
+            for order in range(6):
+                seen[order][z[k - order : k]][z[k]] += 1
+
+    def brute(context, symbol):
+        out, gone = 0.0, set()
+        for order in range(5, -1, -1):
+            left = {s: n for s, n in seen[order].get(context[5 - order :], {}).items() if s not in gone}
+            if not left:
+                continue
+            if symbol in left:
+                return out + math.log10(left[symbol] / (sum(left.values()) + len(left)))
+            out += math.log10(len(left) / (sum(left.values()) + len(left)))
+            gone |= set(left)
+        return out - math.log10(256 - len(gone))
+
+    counts = Counter(ppm.grams(texts, 5)[0].tolist())
+    first = np.zeros((256, 256))
+    for g, n in counts.items():
+        first[(g >> 8) & 255, g & 255] += n
+    contexts = [b"dabra", b"xabra", b"xxbra", b"xxxra", b"xxxxa", b"xxxxx", b"\0\0\0\0\0"]
+    asked = {int.from_bytes(c + bytes([s]), "big"): (c, s) for c in contexts for s in range(256)}
+    keys = np.array(sorted(asked.keys() | counts.keys()))
+    got = dict(zip(keys.tolist(), ppm.code_lengths(keys, np.array([counts[k] for k in keys.tolist()]), (keys >> 8) & 255, first, 5), strict=True))
+    assert [got[k] for k in asked] == pytest.approx([brute(*v) for v in asked.values()])
+    for c in contexts:
+        assert sum(10 ** got[k] for k, v in asked.items() if v[0] == c) == pytest.approx(1)
+
+
+def test_packed_columns_come_back():
+    keys = np.unique(np.random.default_rng(0).integers(0, 1 << 48, 1000))
+    assert (ppm.unpacked_keys(ppm.packed_keys(keys), len(keys)) == keys).all()
+    logs = np.linspace(-9, 0, 77, dtype=np.float32)
+    assert (ppm.unpacked(ppm.packed(logs), 77, np.float32) == logs).all()
+    find = ppm.lookup(keys, keys.astype(np.float64))
+    assert (find(keys[::-1]) == keys[::-1]).all()
+    with pytest.raises(KeyError):
+        find(np.array([keys[0] + 1 if keys[0] + 1 not in keys else keys[0] + 2]))
+
+
 def test_alignment_tolerates_gaps():
     s = licenses.Scanner({"A": "one two three four five six seven eight nine ten"})
     assert s.scan(b"zero one two THREE four five six seven eight nine ten end") == [("A", 1.0, 10, 5, 53)]

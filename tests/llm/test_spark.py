@@ -234,6 +234,18 @@ def test_chunks_do_not_change_scores(spark, monkeypatch):
     assert parts.keys() == whole.keys() and all(parts[k] == pytest.approx(whole[k], rel=1e-6) for k in whole)
 
 
+def test_scores_use_five_bytes_of_context(spark, monkeypatch):
+    rows = [(i, "axbcd1" if i % 2 else "aybcd2", "en") for i in range(40)] + [(100, "axbcd1", "en"), (101, "axbcd2", "en")]
+    docs, held = docs_of(spark, rows), F.col("doc_id") >= 100
+    whole = {r["doc_id"]: r["score"] for r in ppm.score(docs, held).collect()}
+    # With the byte four places back, the last one is all but certain; with three bytes both are alike.
+    assert whole[100] - whole[101] > 1
+    monkeypatch.setattr(ppm, "CHUNK", 20)
+    monkeypatch.setattr(ppm, "FAN", 2)
+    parts = {r["doc_id"]: r["score"] for r in ppm.score(docs, held).collect()}
+    assert all(parts[k] == pytest.approx(whole[k], rel=1e-6) for k in whole)
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(1)
     v = rng.standard_normal((300, 8)).astype(np.float32)
