@@ -9,7 +9,9 @@ A template is rejected if its smoothed share of blocked labels, (blocked + PRIOR
 (labelled + WEIGHT), reaches ``PURITY``.
 
 Labels: rows that a rule decides, and, as blocked, hosts that hold a word of ``SEEDS``. Callers can
-pass labels of their own.
+pass labels of their own. With those, no share of a node makes a word a wildcard, only fewer than
+``LEAST`` rows, and words that are so rare have wildcards of their own, with labels and without. The
+default labels keep to the SQL of the query, which has ``RARE`` and a single wildcard.
 
 Inputs and edge cases: a null url, or one without ``://``, has an empty host and path and belongs to the
 template of the empty path; urls are read whole; repeated rows are judged alike and count as often;
@@ -70,8 +72,11 @@ def _kind(segment: Column) -> Column:
     return F.when(segment.isNull(), 0).when(segment.rlike("[0-9]"), 1).otherwise(2)
 
 
-def templates(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """``rows`` (``host, path, label``; label 1 blocked, 0 allowed, or null) with ``template``."""
+def templates(rows: DataFrame, scratch: Scratch, whole: bool = False) -> DataFrame:
+    """``rows`` (``host, path, label``; label 1 blocked, 0 allowed, or null) with ``template``.
+
+    ``whole``: without ``RARE``, and with wildcards by label for rare words.
+    """
     state = rows.withColumn("_segs", F.filter(F.split("path", "/"), lambda x: x != "")).withColumn("template", F.lit(""))
     for depth in range(DEPTH):
         at = state.withColumn("_seg", F.get("_segs", F.lit(depth))).withColumn("_next", _kind(F.get("_segs", F.lit(depth + 1))))
@@ -80,8 +85,10 @@ def templates(rows: DataFrame, scratch: Scratch) -> DataFrame:
         named = there.where(~F.col("_seg").rlike("[0-9]")).groupBy("host", "template", "_seg").agg(
             F.count("*").alias("n"), F.count("label").alias("l"), F.sum(F.coalesce("label", F.lit(0))).alias("b"), *[F.count(F.when(F.col("_next") == k, 1)).alias(f"k{k}") for k in range(3)]
         )
-        # Each kept branch has at least RARE of its node's rows, so a node keeps at most 1 / RARE of them.
-        kept = named.where(F.col("n") >= LEAST).join(total, ["host", "template"]).where(F.col("n") >= RARE * F.col("total"))
+        kept = named.where(F.col("n") >= LEAST)
+        if not whole:
+            # Each kept branch has at least RARE of its node's rows, so a node keeps at most 1 / RARE of them.
+            kept = kept.join(total, ["host", "template"]).where(F.col("n") >= RARE * F.col("total"))
         group = Window.partitionBy("host", "template", F.col("l") > 0)
 
         def off(seen: str, size: str) -> Column:
@@ -95,6 +102,9 @@ def templates(rows: DataFrame, scratch: Scratch) -> DataFrame:
         alike = F.sum(F.col("alike").cast("int")).over(group)
         name = F.when(F.col("alike") & (alike > 1), F.when(F.col("l") > 0, "(labelled)").otherwise("(unlabelled)")).otherwise(F.col("_seg"))
         kept = kept.select("host", "template", "_seg", name.alias("_name"))
+        if whole:
+            rare = F.when(F.col("l") > 0, "(labelled *)").otherwise("(unlabelled *)")
+            kept = kept.union(named.where(F.col("n") < LEAST).select("host", "template", "_seg", rare))
         joined = at.join(kept, ["host", "template", "_seg"], "left")
         step = F.when(F.col("_seg").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), F.coalesce("_name", F.lit("*"))))
         state = scratch.save(joined.withColumn("template", step).drop("_seg", "_next", "_name"), "urls")
@@ -113,7 +123,7 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, labels:
     if labels is None:
         own = F.when(F.col("rule").isNotNull(), (verdict_of(F.col("rule"), rules) == "block").cast("int")).when(seeded(F.col("host")), 1)
         rows = rows.withColumn("label", own)
-    state = templates(rows, scratch)
+    state = templates(rows, scratch, labels is not None)
     purity = (F.sum(F.coalesce("label", F.lit(0))) + PRIOR * WEIGHT) / (F.count("label") + WEIGHT)
     pure = state.groupBy("host", "template").agg(purity.alias("purity"))
     out = state.join(pure, ["host", "template"])

@@ -195,6 +195,17 @@ def test_url_templates_merge_like_branches(spark):
     assert {(r["path"][1], r["template"], r["verdict"]) for r in out} == {("a", "/(labelled)/*", "block"), ("b", "/(labelled)/*", "block"), ("c", "/(unlabelled)/*", "allow"), ("d", "/(unlabelled)/*", "allow")}
 
 
+def test_urls_keep_many_sections_apart(spark):
+    words = [a + b for a in "abcdefghij" for b in "abcdefghij"]
+    # One host: 100 even sections, two blocked and the rest unknown. Another: one blocked, the rest allowed.
+    rows = [(f"http://h.org/{w}/{k}", 1 if w in ("aa", "jj") else None) for w in words for k in range(4)]
+    rows += [(f"http://i.org/{w}/{k}", int(w == "aa")) for w in words for k in range(4)]
+    rows += [("http://j.org/one/1", 1), ("http://j.org/two/1", 1), ("http://j.org/six/1", None)]
+    pages = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, mark int")
+    out = urls.judge(pages, rules=(), labels=F.col("mark")).collect()
+    assert {(r["host"], r["path"].split("/")[1]) for r in out if r["verdict"] == "block"} == {("h.org", "aa"), ("h.org", "jj"), ("i.org", "aa"), ("j.org", "one"), ("j.org", "two")}
+
+
 def test_lm_scores(spark):
     import math
 
