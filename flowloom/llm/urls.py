@@ -10,8 +10,9 @@ A template is rejected if its smoothed share of blocked labels, (blocked + PRIOR
 
 Labels: rows that a rule decides, and, as blocked, hosts that hold a word of ``SEEDS``. Callers can
 pass labels of their own. With those, no share of a node makes a word a wildcard, only fewer than
-``LEAST`` rows, and words that are so rare have wildcards of their own, with labels and without. The
-default labels keep to the SQL of the query, which has ``RARE`` and a single wildcard.
+``LEAST`` rows, words that are so rare have wildcards of their own, with labels and without, and paths
+are read to their end. The default labels keep to the SQL of the query, which has ``RARE``, ``DEPTH``
+and a single wildcard.
 
 Inputs and edge cases: a null url, or one without ``://``, has an empty host and path and belongs to the
 template of the empty path; urls are read whole; repeated rows are judged alike and count as often;
@@ -75,10 +76,11 @@ def _kind(segment: Column) -> Column:
 def templates(rows: DataFrame, scratch: Scratch, whole: bool = False) -> DataFrame:
     """``rows`` (``host, path, label``; label 1 blocked, 0 allowed, or null) with ``template``.
 
-    ``whole``: without ``RARE``, and with wildcards by label for rare words.
+    ``whole``: without ``RARE`` and ``DEPTH``, and with wildcards by label for rare words.
     """
     state = rows.withColumn("_segs", F.filter(F.split("path", "/"), lambda x: x != "")).withColumn("template", F.lit(""))
-    for depth in range(DEPTH):
+    levels = (state.agg(F.max(F.size("_segs"))).first()[0] or 0) if whole else DEPTH
+    for depth in range(levels):
         at = state.withColumn("_seg", F.get("_segs", F.lit(depth))).withColumn("_next", _kind(F.get("_segs", F.lit(depth + 1))))
         there = at.where("_seg is not null").select("host", "template", "_seg", "_next", "label")
         total = there.groupBy("host", "template").agg(F.count("*").alias("total"))
@@ -108,7 +110,7 @@ def templates(rows: DataFrame, scratch: Scratch, whole: bool = False) -> DataFra
         joined = at.join(kept, ["host", "template", "_seg"], "left")
         step = F.when(F.col("_seg").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), F.coalesce("_name", F.lit("*"))))
         state = scratch.save(joined.withColumn("template", step).drop("_seg", "_next", "_name"), "urls")
-    return state.withColumn("template", F.when(F.size("_segs") > DEPTH, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))).drop("_segs")
+    return state.withColumn("template", F.when(F.size("_segs") > levels, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))).drop("_segs")
 
 
 def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, labels: Column | None = None) -> DataFrame:

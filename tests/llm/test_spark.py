@@ -206,6 +206,14 @@ def test_urls_keep_many_sections_apart(spark):
     assert {(r["host"], r["path"].split("/")[1]) for r in out if r["verdict"] == "block"} == {("h.org", "aa"), ("h.org", "jj"), ("i.org", "aa"), ("j.org", "one"), ("j.org", "two")}
 
 
+def test_urls_read_paths_to_their_end(spark):
+    rows = [(f"http://h.org/a/b/c/{w}/{k}", v) for w, v in (("spam", 1), ("news", 0)) for k in range(9)] + [("http://h.org/a/b/c/news/99", None), ("http://h.org/a/b/c/spam/99", None)]
+    pages = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, mark int")
+    out = urls.judge(pages, rules=(), labels=F.col("mark")).collect()
+    assert {(r["template"], r["verdict"]) for r in out} == {("/a/b/c/spam/*", "block"), ("/a/b/c/news/*", "allow")}
+    assert urls.judge(pages.limit(0), rules=(), labels=F.col("mark")).count() == 0
+
+
 def test_lm_scores(spark):
     import math
 
