@@ -1,14 +1,23 @@
 """Vector best-fit packing of token pieces into sequences.
 
-A sequence has up to three capacities: tokens, documents and attention cost (the sum of squared
-piece lengths). Pieces go, longest first, into the open sequence that meets every constraint and
-scores best: by the weighted norm of what would stay free, or by the weighted dot product of the
+A sequence has three capacities: tokens, documents and attention cost (the sum of squared piece
+lengths). Pieces go, longest first, into the open sequence that meets every constraint and scores
+best: by the weighted norm of what would stay free of each, or by the weighted dot product of the
 piece with what is free. A piece that fits nowhere opens a sequence.
 
-The pieces are dealt by hash into groups of about ``GROUP`` and every group is packed by one
-task; a group leaves only its last few sequences part-filled. Long texts are cut into full pieces
-and one rest. A null text counts as empty (its piece holds only the end id), repeated rows give
-repeated pieces (in any order), an empty table gives an empty one, and only the named columns are read.
+By default a sequence of ``capacity`` tokens takes ``capacity`` documents and a cost of ``capacity``
+squared. A single full piece needs that cost, so no tighter limit could place every piece; and no
+limit costs a sequence, while all three residuals choose it. Callers can set tighter limits of
+documents, looser ones of cost, or None for none.
+
+The pieces are dealt into groups of about ``GROUP`` by where they are in the table of pieces, and
+every group is packed by one task; a group leaves only its last few sequences part-filled. Long texts
+are cut into full pieces and one rest.
+
+Inputs and edge cases: a null text counts as empty (its piece holds only the end id); a null id stays
+null, and ids of any size stay exact; repeated rows give repeated pieces (in any order), dealt to all
+groups; equal pieces are placed in the order of id, null last, and piece; an empty table gives an
+empty one; only ``doc_id`` and ``text`` are read, so further columns may bear any name.
 """
 
 from __future__ import annotations
@@ -16,8 +25,8 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,11 +36,12 @@ from .common import Scratch, map_arrow, table
 #: Pieces packed by one task.
 GROUP = 20_000
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
+NAMES = [x.split()[0] for x in PIECE.split(", ")]
 
 
 def pieces(docs: DataFrame, vocabulary: str, size: int, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """Each text's ids and ``end_id``, cut into pieces of ``size``; ``with_ids`` also returns the ids."""
-    names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
+    names = NAMES + ["ids"] * with_ids
 
     def make():
         bpe, end = load_library(vocabulary), int(end_id).to_bytes(4, "little")
@@ -114,29 +124,37 @@ def best_fit(lengths: np.ndarray, capacity: int, max_docs: int | None = None, ma
     return seq, offset
 
 
-def pack(items: DataFrame, capacity: int, count: int, max_docs: int | None = None, max_cost: int | None = None, score: str = "norm", weights: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
-    """``items`` (``PIECE`` columns) with ``sequence_id`` and ``offset``; ``count``: their number."""
+def _limits(capacity: int, max_docs: int | None | str, max_cost: int | None | str) -> dict[str, int | None]:
+    return {"max_docs": capacity if max_docs == "capacity" else max_docs, "max_cost": capacity**2 if max_cost == "capacity" else max_cost}
+
+
+def pack(items: DataFrame, capacity: int, count: int, max_docs: int | None | str = "capacity", max_cost: int | None | str = "capacity", score: str = "norm", weights: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
+    """``items`` (``PIECE`` columns and ``row``, any numbers that differ) with ``sequence_id`` and ``offset``; ``count``: their number.
+
+    ``max_docs`` and ``max_cost``: the defaults of the module, or numbers, or None for no limit.
+    """
     groups = max(1, -(-count // GROUP))
-    out_schema = PIECE + ", sequence_id long, offset long"
+    limits = _limits(capacity, max_docs, max_cost)
 
-    def run(keys: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
-        seq, offset = best_fit(rows["length"].to_numpy(np.int64), capacity, max_docs, max_cost, score, weights)
-        return rows.drop(columns="_group").assign(sequence_id=(int(keys[0]) << 32) + seq, offset=offset)
+    def run(t: pa.Table) -> pa.Table:
+        group = t["_group"][0].as_py()
+        t = t.select(NAMES).take(pc.sort_indices(t, sort_keys=[("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")], null_placement="at_end"))
+        seq, offset = best_fit(t["length"].to_numpy(), capacity, score=score, weights=weights, **limits)
+        return t.append_column("sequence_id", pa.array((group << 32) + seq)).append_column("offset", pa.array(offset))
 
-    group = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups))
-    return items.withColumn("_group", group).groupBy("_group").applyInPandas(run, out_schema)
+    group = F.pmod(F.xxhash64("row"), F.lit(groups))
+    return items.select(*NAMES, group.alias("_group")).groupBy("_group").applyInArrow(run, PIECE + ", sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0, **limits) -> DataFrame:
     """Pieces of all texts with their place in sequences of at most ``capacity`` tokens."""
     scratch = Scratch(docs.sparkSession)
-    cut = scratch.save(pieces(docs, vocabulary, capacity, end_id), "pieces")
+    cut = scratch.save(pieces(docs, vocabulary, capacity, end_id).withColumn("row", F.monotonically_increasing_id()), "pieces")
     return pack(cut, capacity, cut.count(), **limits)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in sequences of 2048 tokens; documents and attention cost are not limited."""
+    """All documents in sequences of 2048 tokens, 2048 documents and a cost of 2048 squared."""
     import public_tokenizers
 
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))

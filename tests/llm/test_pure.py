@@ -71,6 +71,24 @@ def test_best_fit_meets_every_constraint(limits):
         assert len(np.unique(seq)) <= 1.01 * lengths.sum() / 2048 + 1
 
 
+@pytest.mark.parametrize("score", ["norm", "dot"])
+def test_best_fit_takes_the_best_sequence_of_all(score):
+    rng = np.random.default_rng(11)
+    lengths = np.sort(rng.integers(1, 300, 400))[::-1]
+    caps, weights = np.array([300.0, 6.0, 50_000.0]), (1.0, 0.5, 2.0)
+    seq, _ = packing.best_fit(np.where(lengths**2 > 50_000, 200, lengths), 300, 6, 50_000, score, weights)
+    lengths = np.where(lengths**2 > 50_000, 200, lengths)
+    free = {}
+    for size, own in zip(lengths.tolist(), seq.tolist(), strict=True):
+        item = np.array([size, 1.0, size**2]) / caps
+        value = {b: -(weights * (f - item) ** 2).sum() if score == "norm" else (weights * f * item).sum() for b, f in free.items() if (f - item >= -1e-9).all()}
+        if value:
+            assert value.get(own, -np.inf) >= max(value.values()) - 1e-9
+        else:
+            assert own not in free
+        free[own] = free.get(own, np.ones(3)) - item
+
+
 def test_best_fit_edges():
     assert len(packing.best_fit(np.empty(0, np.int64), 8)[0]) == 0
     assert packing.best_fit(np.array([8, 8, 1]), 8)[0].tolist() == [0, 1, 2]

@@ -150,15 +150,22 @@ def test_licenses(spark):
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
-def test_packing(spark):
-    rng = random.Random(2)
-    rows = [(i, " ".join(rng.choices(["alpha", "beta", "gamma"], k=rng.randint(0, 400))), "en") for i in range(200)] + [(900, None, "en"), (901, "word " * 5000, "en"), (3, "again", "en"), (3, "again", "en")]
-    out = packing.pack_documents(docs_of(spark, rows), VOCABULARY).collect()
-    tool, want = bpe.WordBPE(VOCABULARY), []
+PACKED = [(900, None, "en"), (901, "word " * 5000, "en"), (3, "again", "en"), (3, "again", "en"), (None, "no id", "en"), (2**60 + 1, "a large id", "en")]
+
+
+def packed_by_hand(rows):
+    """Pieces by the tokenizers library."""
+    from tokenizers import Tokenizer
+
+    tool, want = Tokenizer.from_file(VOCABULARY), []
     for i, t, _ in rows:
-        ids = [*tool.encode(t or ""), 0]
+        ids = [*tool.encode(t or "", add_special_tokens=False).ids, 0]
         want += [(i, k // 2048, k, len(ids[k : k + 2048]), zlib.crc32(np.array(ids[k : k + 2048], "<u4").tobytes())) for k in range(0, len(ids), 2048)]
-    assert sorted(tuple(r)[:5] for r in out) == sorted(want)
+    return sorted(want, key=str)
+
+
+def sequences(out):
+    """Pieces by sequence, in the order of their offsets, which leave no gap."""
     bins = {}
     for r in out:
         bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
@@ -167,9 +174,34 @@ def test_packing(spark):
         for offset, length in sorted(b):
             assert offset == end
             end += length
-        assert end <= 2048
+    return [[length for _, length in sorted(b)] for b in bins.values()]
+
+
+def test_packing(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choices(["alpha", "beta", "gamma"], k=rng.randint(0, 400))), "en") for i in range(200)] + PACKED
+    out = packing.pack_documents(docs_of(spark, rows), VOCABULARY).collect()
+    want = packed_by_hand(rows)
+    assert sorted((tuple(r)[:5] for r in out), key=str) == want
+    bins = sequences(out)
+    assert all(sum(b) <= 2048 for b in bins)
     assert len(bins) <= -(-sum(w[3] for w in want) // 2048) + 1
     assert packing.pack_documents(docs_of(spark, []), VOCABULARY).count() == 0
+    # Tighter limits hold too, each on its own, whatever the order of the groups.
+    monkeypatch.setattr(packing, "GROUP", 50)
+    for limits in ({"max_docs": 3}, {"max_docs": 5, "score": "dot"}, {"max_docs": None, "max_cost": None}):
+        out = packing.pack_documents(docs_of(spark, rows), VOCABULARY, **limits).collect()
+        assert sorted((tuple(r)[:5] for r in out), key=str) == want
+        assert all(sum(b) <= 2048 and len(b) <= (limits["max_docs"] or 10**9) for b in sequences(out))
+
+
+def test_op7_meets_every_constraint(spark, tmp_path):
+    rows = [(i, "the cat sat " * (i % 400), "en") for i in range(300)] + PACKED
+    docs_of(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    out = packing.op7_packing(spark, str(tmp_path)).collect()
+    assert sorted((tuple(r)[:5] for r in out), key=str) == packed_by_hand(rows)
+    for b in sequences(out):
+        assert sum(b) <= 2048 and len(b) <= 2048 and sum(x * x for x in b) <= 2048**2
 
 
 def test_urls(spark):
