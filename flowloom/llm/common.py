@@ -12,14 +12,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows per Arrow batch. Texts reach hundreds of kilobytes, so a batch is kept small.
-BATCH_ROWS = 500
+#: Most rows and bytes of an Arrow batch. Texts reach hundreds of kilobytes, so rows alone are no bound.
+BATCH_ROWS, BATCH_BYTES = 500, 16 << 20
 
 
 def arrow_session(df: DataFrame) -> SparkSession:
-    """The session of ``df``, set so that Arrow batches of long texts stay small."""
+    """The session of ``df``, whose limits of Arrow batches are lowered to the above; lower ones stay."""
     spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if not 0 < rows <= BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    size = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    if not (size.endswith("b") and 0 < int(size[:-1]) <= BATCH_BYTES):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
     return spark
 
 
@@ -32,9 +37,11 @@ _LOCAL: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; where it is unset (tests), a local one."""
+    """The shared folder named by ``spark.checkpoint.dir``; where it is unset and all runs on one machine, a local one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         if app not in _LOCAL:
             import tempfile

@@ -104,9 +104,28 @@ def test_exact_binomial_tail():
 
 
 def test_certified_cutoffs_keep_the_bound():
-    # 1000 good, of which steps reject 0, 0, 1, 40; 100 bad.
-    assert quality.certified([0, 0, 1, 40, 1000], [5, 60, 61, 100, 100], 0.01, 0.01) == 1
-    assert quality.certified([0, 0, 0, 0, 50], [5, 60, 61, 100, 100], 0.01, 0.01) is None
+    # 1000 good documents, of which the steps are the first to reject 0, 0, 1, 39; 100 bad.
+    good, bad = np.array([0, 0, 1, 39, 960]), np.array([5, 55, 1, 39, 0])
+    assert quality.certified(good, bad, 0.01, 0.01) == (1, 2)
+    assert quality.certified(np.array([0, 0, 0, 0, 50]), bad, 0.01, 0.01) == (-1, -1)
+    assert quality.certified(np.array([0, 0, 0, 0, 58]), bad, 0.05) == (-1, -1) and quality.certified(np.array([0, 0, 0, 0, 59]), bad, 0.05) == (3, 3)
+
+
+def test_upper_bound_is_clopper_pearson():
+    for k, n, level in ((0, 59, 0.05), (3, 50, 0.01), (7, 900, 0.0125)):
+        at = quality.upper_bound(k, n, level)
+        assert quality.binomial_tail(k, n, at) == pytest.approx(level, rel=1e-6)
+    assert quality.upper_bound(0, 59, 0.05) == pytest.approx(1 - 0.05 ** (1 / 59)) and quality.upper_bound(4, 4, 0.05) == 1.0
+
+
+def test_path_tightens_what_catches_junk():
+    rules, steps = len(quality.RULES), len(quality.LADDER)
+    none = [steps] * rules
+    first = np.array([[5, *none[1:]], [none[0], 7, *none[2:]], none, [9, *none[1:]]])
+    assert quality.learn_path(first, np.array([0, 0, 20, 1]), np.array([10, 4, 0, 0])) == [(0, 5), (1, 7)]
+    assert quality.learn_path(first, np.array([0, 0, 20, 1]), np.array([10, 4, 0, 4])) == [(0, 5), (0, 9), (1, 7)]
+    assert quality.learn_path(first, np.array([1, 1, 20, 1]), np.array([2, 3, 0, 0])) == []
+    assert quality.learn_path(first[:0], np.empty(0, int), np.empty(0, int)) == []
 
 
 def test_quality_counts():

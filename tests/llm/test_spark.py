@@ -2,7 +2,9 @@
 
 import hashlib
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -99,8 +101,54 @@ def test_quality(spark):
     assert all(out[i]["base_failed"] and not out[i]["kept"] for i in (5000, 5001, 5002))
     kept = quality.filter_quality(docs, known)
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, r in out.items() if r["kept"]}
-    assert quality.choose_cutoffs(quality.measured(docs), known.limit(0)) == {"other": {}}
-    assert quality.judge(docs.limit(0), known).count() == 0
+    assert quality.choose_cutoffs(quality.measured(docs), known.limit(0)).count() == 0
+    assert quality.judge(docs, known.limit(0)).where("kept").count() == sum(len((t or "").split()) >= 20 for _, t, _ in rows)
+    assert quality.judge(docs.limit(0), known).count() == 0 == quality.filter_quality(docs.limit(0), known).count()
+
+
+def test_quality_bounds_every_stratum(spark):
+    """Three languages: one whose junk the rules catch, one whose good texts look like that junk, one of few labels."""
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(500)]
+    rows, labels = [], []
+    for i in range(1800):
+        lang, good = ("en", "de", "fr")[i % 3], i % 4 > 0
+        w = rng.choices(words, k=40)
+        marked = not good or (lang == "de" and i % 8 < 3)
+        rows.append((i, " ".join(x + "#" if marked else x for x in w), lang))
+        if lang != "fr" or i < 150:
+            labels.append((i, int(good), 0))
+    docs = docs_of(spark, rows)
+    # Every label given three times is still one vote.
+    known = spark.createDataFrame(labels * 3, "doc_id long, quality int, toxic int")
+    scored = quality.measured(docs)
+    by = {r["lang"]: r for r in quality.choose_cutoffs(scored, known).collect()}
+    part = {r["doc_id"]: r["train"] for r in quality.votes(scored, known).collect()}
+    assert len(part) == len(labels)
+    for lang in ("en", "de", "fr"):
+        assert by[lang]["good"] == sum(q and rows[i][2] == lang and not part[i] for i, q, _ in labels)
+    assert by["en"]["symbol_ratio"] and by["en"]["rejected"] == 0 and by["en"]["bound"] <= quality.ALLOWED
+    assert not any(by[lang][r] for lang in ("de", "fr") for r in quality.RULES) and by["fr"]["good"] < 59
+    kept = {r["doc_id"] for r in quality.judge(docs, known).where("kept").collect()}
+    assert kept == {i for i in range(1800) if i % 3 or i % 4 > 0}
+
+
+def test_quality_counts_equal_a_plain_count(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(300):
+        lines = [" ".join(rng.choices(["a", "bé", "c#", "|", "中文", "D!"], k=rng.choice([0, 1, 3, 9, 30]))) for _ in range(rng.randint(0, 12))]
+        rows.append((i, rng.choice(["\n", "\n\n", "\t", "\x85"]).join(lines), "en"))
+    rows += [(900, None, None), (901, "x " * 60000 + "\u00a0y", "en")]
+    for r in quality.measured(docs_of(spark, rows)).collect():
+        text = rows[r["doc_id"]][1] if r["doc_id"] < 900 else {900: "", 901: rows[-1][1]}[r["doc_id"]]
+        w = [x for x in re.split("[\x20\x09-\x0d]+", text) if x]
+        lines = [x for x in text.split("\n") if re.search("[^\x20\x09-\x0d]", x)]
+        windows = [tuple(w[k : k + 8]) for k in range(len(w) - 7)]
+        often = {x for x, n in Counter(windows).items() if n > 1}
+        inside = {k + j for k, x in enumerate(windows) if x in often for j in range(8)}
+        want = (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(inside))
+        assert tuple(r[c] for c in quality.COUNTS) == want
 
 
 def test_toxicity(spark):
