@@ -252,27 +252,45 @@ def test_op7_meets_every_constraint(spark, tmp_path):
         assert sum(b) <= 2048 and len(b) <= 2048 and sum(x * x for x in b) <= 2048**2
 
 
+URLS = [(1, "HTTP://WWW.Example.COM/en/1?x#y"), (2, "http://a.example.com/en/2"), (3, "http://b.net/fr/3"), (4, "http://b.net/de/3"), (5, None), (6, "no scheme"), (7, "x://casino-farm.org/en/9"), (7, "x://casino-farm.org/en/9"), (8, "http://com/"), (9, "http://com"), (10, "a://b.org/c?u=http://x.com/en/"), (None, "http://c.net/es/" + "a/" * 20000)]
+
+
 def test_urls(spark):
-    pages = [(1, "HTTP://WWW.Example.COM/en/1?x#y"), (2, "http://a.example.com/en/2"), (3, "http://b.net/fr/3"), (4, "http://b.net/de/3"), (5, None), (6, "no scheme"), (7, "x://spam-farm.org/en/9"), (7, "x://spam-farm.org/en/9"), (8, "http://com/"), (9, "http://com"), (10, "a://b.org/c?u=http://x.com/en/")]
-    out = urls.judge(spark.createDataFrame([(*p, "h", "l") for p in pages], "page_id long, url string, html string, label string")).collect()
+    out = urls.judge(spark.createDataFrame([(*p, "h", "l", 1) for p in URLS], "page_id long, url string, html string, label string, n int")).collect()
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in out}
-    assert len(out) == len(pages)
+    assert len(out) == len(URLS)
     assert got[1] == ("www.example.com", "/en/1", "www.example.com/en/", "allow")
     assert got[2] == ("a.example.com", "/en/2", "example.com/en/", "block")
     assert got[3] == ("b.net", "/fr/3", "net/fr/", "block")
     assert got[4] == ("b.net", "/de/3", None, "allow")
     assert got[5] == got[6] == ("", "", None, "allow")
-    assert got[7][2:] == (None, "block")
+    # No word of a host decides.
+    assert got[7][2:] == (None, "allow")
     assert got[8] == ("com", "/", "com/", "allow") and got[9] == ("com", "", None, "allow")
     assert got[10][:3] == ("b.org", "/c", None)
+    assert got[None][2:] == ("net/es/", "block")
     assert urls.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def url_verdicts(spark, rows, **options):
+    """``{url: (template, verdict)}`` of ``(url, mark)`` rows."""
+    pages = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, mark int")
+    out = urls.judge(pages, **{"rules": (), "labels": F.col("mark")} | options).collect()
+    return {rows[r["page_id"]][0]: (r["template"], r["verdict"]) for r in out}
+
+
 def test_url_templates_merge_like_branches(spark):
-    rows = [(k, f"http://h.org/{'abcd'[k % 4]}/{k}") for k in range(400)]
-    pages = spark.createDataFrame([(i, u, 1 if u[13] in "ab" else None) for i, u in rows], "page_id long, url string, mark int")
-    out = urls.judge(pages, rules=(), labels=F.col("mark")).collect()
-    assert {(r["path"][1], r["template"], r["verdict"]) for r in out} == {("a", "/(labelled)/*", "block"), ("b", "/(labelled)/*", "block"), ("c", "/(unlabelled)/*", "allow"), ("d", "/(unlabelled)/*", "allow")}
+    """Two kinds of branches with labels and two without: each kind is a cluster of its own."""
+    rows = []
+    for w in "abcdefgh":
+        for k in range(60):
+            tail = f"/{k}" if w in "abef" else f"/list/{k}/more"
+            rows.append((f"http://h.org/{w}{tail}", None if w in "efgh" else int(w in "ab")))
+    out = url_verdicts(spark, rows)
+    assert {(u[13], *v) for u, v in out.items()} == {
+        ("a", "/{a}/*", "block"), ("b", "/{a}/*", "block"), ("c", "/{c}/list/*/more", "allow"), ("d", "/{c}/list/*/more", "allow"),
+        ("e", "/{e}/*", "allow"), ("f", "/{e}/*", "allow"), ("g", "/{g}/list/*/more", "allow"), ("h", "/{g}/list/*/more", "allow"),
+    }
 
 
 def test_urls_keep_many_sections_apart(spark):
@@ -281,17 +299,54 @@ def test_urls_keep_many_sections_apart(spark):
     rows = [(f"http://h.org/{w}/{k}", 1 if w in ("aa", "jj") else None) for w in words for k in range(4)]
     rows += [(f"http://i.org/{w}/{k}", int(w == "aa")) for w in words for k in range(4)]
     rows += [("http://j.org/one/1", 1), ("http://j.org/two/1", 1), ("http://j.org/six/1", None)]
-    pages = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, mark int")
-    out = urls.judge(pages, rules=(), labels=F.col("mark")).collect()
-    assert {(r["host"], r["path"].split("/")[1]) for r in out if r["verdict"] == "block"} == {("h.org", "aa"), ("h.org", "jj"), ("i.org", "aa"), ("j.org", "one"), ("j.org", "two")}
+    out = url_verdicts(spark, rows)
+    assert {u.split("/")[2] + "/" + u.split("/")[3] for u, v in out.items() if v[1] == "block"} == {"h.org/aa", "h.org/jj", "i.org/aa", "j.org/one", "j.org/two"}
+
+
+def test_urls_generalise_from_labelled_to_unlabelled_pages(spark):
+    """The tree decides pages without a label: by variables with digits, by variable words, by sections, each per host."""
+    names = [a + b for a in "abcdefgh" for b in "abcdefgh"]
+    rows = [(f"http://shop.org/deal/{k}", 1 if k < 12 else None) for k in range(40)] + [(f"http://shop.org/help/{k}", 0 if k < 12 else None) for k in range(40)]
+    rows += [(f"http://forum.org/member/{n}/links", 1 if i % 4 == 0 else None) for i, n in enumerate(names)] + [(f"http://forum.org/topic/{n}", 0 if i % 4 == 0 else None) for i, n in enumerate(names)]
+    rows += [(f"http://other.org/deal/{k}", None) for k in range(40)]
+    out = url_verdicts(spark, rows)
+    assert {u for u, v in out.items() if v[1] == "block"} == {u for u, _ in rows if "shop.org/deal" in u or "member" in u}
+    assert out["http://forum.org/member/ab/links"][0] == "/member/*/links"
+
+
+def test_url_purity_leans_on_the_tree_above(spark):
+    """One blocked label in an allowed section isn't enough; in a blocked section it is."""
+    rows = [(f"http://h.org/good/{w}/{k}", 0) for w in ("aa", "bb", "cc") for k in range(9)] + [("http://h.org/good/new/1", 1), ("http://h.org/good/new/2", None)]
+    rows += [(f"http://h.org/bad/{w}/{k}", 1) for w in ("aa", "bb", "cc") for k in range(9)] + [("http://h.org/bad/new/1", 1), ("http://h.org/bad/new/2", None)]
+    out = url_verdicts(spark, rows)
+    assert out["http://h.org/good/new/2"][1] == "allow" and out["http://h.org/bad/new/2"][1] == "block"
+
+
+def test_url_rules_are_no_evidence_about_other_sections(spark):
+    rows = [(f"http://hot.net/{w}/{k}", None) for w in ("es", "fr", "de", "en", "it") for k in range(30)]
+    out = url_verdicts(spark, rows, rules=urls.RULES, labels=None)
+    assert {u.split("/")[3] for u, v in out.items() if v[1] == "block"} == {"es", "fr"}
 
 
 def test_urls_read_paths_to_their_end(spark):
     rows = [(f"http://h.org/a/b/c/{w}/{k}", v) for w, v in (("spam", 1), ("news", 0)) for k in range(9)] + [("http://h.org/a/b/c/news/99", None), ("http://h.org/a/b/c/spam/99", None)]
-    pages = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, mark int")
-    out = urls.judge(pages, rules=(), labels=F.col("mark")).collect()
-    assert {(r["template"], r["verdict"]) for r in out} == {("/a/b/c/spam/*", "block"), ("/a/b/c/news/*", "allow")}
-    assert urls.judge(pages.limit(0), rules=(), labels=F.col("mark")).count() == 0
+    assert set(url_verdicts(spark, rows).values()) == {("/a/b/c/spam/*", "block"), ("/a/b/c/news/*", "allow")}
+    pages = spark.createDataFrame([], "page_id long, url string, mark int")
+    assert urls.judge(pages, rules=(), labels=F.col("mark")).count() == 0
+
+
+def test_url_sql_equals_the_tree(spark, tmp_path):
+    import duckdb
+
+    rng = random.Random(6)
+    made = [f"http://{rng.choice(['a.net', 'b.example.com', 'c.org', 'www.d.net'])}/" + "/".join(rng.choice(["es", "en", "fr", "x", "y", f"p{rng.randrange(40)}", f"w{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}"]) for _ in range(rng.randint(0, 4))) for _ in range(1500)]
+    rows = [r for r in URLS if r[0] is not None] + [(100 + i, u) for i, u in enumerate(made)]
+    spark.createDataFrame(rows, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = sorted(db.sql(urls.op8_sql()).fetchall(), key=str)
+    got = sorted((tuple(r) for r in urls.op8_urls(spark, str(tmp_path)).collect()), key=str)
+    assert got == want and len({r[5] for r in got}) > 50 and any("{" in r[5] for r in got)
 
 
 def test_lm_scores(spark):
