@@ -162,6 +162,51 @@ def test_toxicity(spark):
     assert toxicity.filter_toxic(docs, labels).columns == docs.columns
     assert toxicity.score(docs.limit(0), model).count() == 0
     assert toxicity.learn(docs, labels.limit(0)).leak == 0
+    # Neither repeated rows nor repeated labels change what is learnt.
+    again = toxicity.learn(docs.union(docs), labels.union(labels))
+    assert again.weights == model.weights and again.leak == model.leak
+
+
+def test_toxicity_finds_held_out_documents_and_their_sentences(spark):
+    rng = random.Random(12)
+    words, bad = [f"w{k}" for k in range(400)], ["vile", "scum", "filth", "wretch"]
+    rows, labels, where = [], [], {}
+    for i in range(1500):
+        sentences = [" ".join(rng.choices(words, k=rng.randint(4, 15))) for _ in range(rng.randint(1, 12))]
+        if i % 6 == 0:
+            at = rng.randrange(len(sentences))
+            sentences[at] += " " + rng.choice(bad) + " " + rng.choice(words)
+            where[i] = sentences[at]
+        rows.append((i, ". ".join(sentences) + ".", "en"))
+        labels.append((i, 1, int(i % 6 == 0)))
+    rows += [(5000, "calm " * 60000 + "you scum", "en")]
+    docs = docs_of(spark, rows)
+    model = toxicity.learn(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    texts = {i: t for i, t, _ in rows}
+    for r in toxicity.score(docs, model).collect():
+        i = r["doc_id"]
+        assert (r["score"] >= 0.5) == (i in where or i == 5000)
+        if i in where:
+            assert [texts[i][s["start"] : s["end"]].strip() for s in r["spans"]] == [where[i]]
+        # The noisy-or by hand: every sentence of the text, neutral ones too.
+        safe = 1 - model.leak
+        for part in re.split(r"[.!?\n]", texts[i]):
+            tokens = {x.lower() for x in re.findall(r"\w+", part)}
+            names = tokens | {x[:k] + "*" for x in tokens for k in (4, 5, 6, 7) if len(x) > k}
+            if names & model.weights.keys():
+                z = -12.0 + sum(model.weights.get(x, 0.0) for x in names)
+                safe *= 1 - 1 / (1 + np.exp(-z))
+        assert r["score"] == pytest.approx(1 - safe, abs=1e-9)
+
+
+def test_toxicity_counts_copies_once(spark):
+    """A hundred copies of one toxic document don't make its harmless words toxic."""
+    rng = random.Random(2)
+    words = [f"w{k}" for k in range(300)]
+    rows = [(i, " ".join(rng.choices(words, k=30)) + (". you vile thing " + rng.choice(words) if i % 5 == 0 else ""), 0) for i in range(400)]
+    rows += [(1000 + i, "rarely used gardens bloom. so vile", 0) for i in range(100)]
+    model = toxicity.fit([t for _, t, _ in rows], [int(i % 5 == 0 or i >= 1000) for i, _, _ in rows])
+    assert "vile" in model.weights and not {"gardens", "bloom", "rarely"} & model.weights.keys()
 
 
 def test_bpe_round_trip(spark):
