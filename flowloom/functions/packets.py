@@ -14,7 +14,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packet_view(rows: DataFrame) -> DataFrame:
-    """Packets from an event table: clients talk to three servers over TCP or UDP."""
+    """Packets from an event table, dealt to three captures: clients talk to three servers over TCP or UDP."""
     k = F.get_json_object("props", "$.k").cast("int")
     user, proto = F.col("user_id"), F.when(F.col("user_id") % 3 == 0, UDP).otherwise(TCP)
     client = F.concat(F.lit("10.0."), F.floor(user / 256).cast("string"), F.lit("."), (user % 256).cast("string"))
@@ -24,7 +24,8 @@ def packet_view(rows: DataFrame) -> DataFrame:
     for kind, value in (("signup", SYN), ("click", ACK), ("purchase", PSH | ACK), ("error", RST), ("view", FIN | ACK)):
         flags = flags.when(F.col("event_type") == kind, value)
     base = rows.select(
-        (F.col("event_id") + 1).alias("pkt_no"),
+        F.concat(F.lit("cap"), (F.col("event_id") % 3).cast("string")).alias("capture_file"),
+        (F.floor(F.col("event_id") / 3) + 1).alias("pkt_no"),
         F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"),
         k.alias("k"),
         proto.alias("proto"),
@@ -42,6 +43,7 @@ def packet_view(rows: DataFrame) -> DataFrame:
         return F.when(F.col("reverse"), F.col(b)).otherwise(F.col(a))
 
     return base.select(
+        "capture_file",
         "pkt_no",
         "ts_us",
         (F.col("ts_us") / 1e6).alias("ts"),
@@ -67,13 +69,13 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same view as a DuckDB common table expression named ``packets``.
 PACKETS_SQL = """packets AS (
-  SELECT pkt_no, ts_us, ts_us / 1e6 AS ts, proto,
+  SELECT capture_file, pkt_no, ts_us, ts_us / 1e6 AS ts, proto,
     CASE WHEN reverse THEN server ELSE client END AS src, CASE WHEN reverse THEN client ELSE server END AS dst,
     CASE WHEN reverse THEN svc ELSE cport END AS sport, CASE WHEN reverse THEN cport ELSE svc END AS dport,
     tcp_flags, CASE WHEN proto = 6 THEN 1024 + k * 16 ELSE 0 END AS win, 20 AS ip_hdr_len,
     CASE WHEN proto = 6 THEN 20 ELSE 8 END AS l4_hdr_len, 54 + payload_len AS incl_len, payload_len, user_id, k
   FROM (
-    SELECT event_id + 1 AS pkt_no, epoch_us(ts) AS ts_us, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
+    SELECT 'cap' || CAST(event_id % 3 AS VARCHAR) AS capture_file, event_id // 3 + 1 AS pkt_no, epoch_us(ts) AS ts_us, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
       CASE WHEN user_id % 3 = 0 THEN 17 ELSE 6 END AS proto, event_type IN ('error', 'view') AS reverse,
       '10.0.' || CAST(user_id // 256 AS VARCHAR) || '.' || CAST(user_id % 256 AS VARCHAR) AS client,
       '192.168.1.' || CAST(CAST(json_extract_string(props, '$.k') AS INTEGER) % 3 + 1 AS VARCHAR) AS server,
@@ -91,7 +93,12 @@ def endpoint(ip: str, port: str) -> Column:
 
 
 def with_flow_key(pk: DataFrame) -> DataFrame:
-    """``lo, hi``: the two endpoints in order, so that both directions share a key; ``up``: the packet goes lo to hi."""
+    """``lo, hi``: the two endpoints in order, so that both directions share a key; ``up``: the packet goes lo to hi.
+
+    Flows never cross captures; packets without a ``capture_file`` are one capture.
+    """
+    if "capture_file" not in pk.columns:
+        pk = pk.withColumn("capture_file", F.lit(""))
     a, b = endpoint("src", "sport"), endpoint("dst", "dport")
     return pk.withColumn("lo", F.least(a, b)).withColumn("hi", F.greatest(a, b)).withColumn("up", a <= b)
 
@@ -102,7 +109,9 @@ KEYED_SQL = """keyed AS (
     src || ':' || CAST(sport AS VARCHAR) <= dst || ':' || CAST(dport AS VARCHAR) AS up
   FROM packets
 )"""
-KEY = ("lo", "hi", "proto")
+KEY = ("capture_file", "lo", "hi", "proto")
+#: What mirrored copies of a frame share; two endpoints in order, so rows of an identity have one flow key.
+IDENTITY = ("src", "sport", "dst", "dport", "ip_total", "ident")
 
 
 def has_flag(mask: int) -> Column:

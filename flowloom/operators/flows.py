@@ -1,9 +1,13 @@
 """Flow instances and the 66-feature flow table.
 
-Packets of both directions share a key. An instance ends where a sweep (every ``sweep_every``-th record of
-the capture) finds the key idle for ``timeout_us``, or after the packet that reaches the packet or
-activity cap. All features of an instance come from one aggregation over columns that windows on the
-same partitioning prepare, so the packets are dealt by key once.
+Packets of both directions share a key; flows never cross captures. An instance ends where a sweep
+(every ``sweep_every``-th record of its capture) finds the key idle for ``timeout_us``, or after the
+packet that reaches the packet or activity cap. All features of an instance come from one aggregation
+over columns that windows on the same partitioning prepare, so the packets are dealt by key once.
+
+Mirrors and caps anchor on earlier decisions, which only a fold can follow. Most keys need none: where
+no chain of mirrors outlasts the tolerance and no cap can be reached, running windows decide the same.
+``extract`` folds the other keys alone.
 """
 
 from __future__ import annotations
@@ -13,8 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowloom.functions.packets import ACK, CWR, ECE, FIN, KEY, PSH, RST, SYN, TCP, URG, has_flag, safe_ratio, with_flow_key
-from flowloom.operators.folds import caps_step, ordered_fold
+from flowloom.functions.packets import ACK, CWR, ECE, FIN, IDENTITY, KEY, PSH, RST, SYN, TCP, URG, has_flag, safe_ratio, with_flow_key
+from flowloom.operators.folds import caps_step, early_step, mirror_step, ordered_fold
 
 
 @dataclass(frozen=True)
@@ -26,6 +30,7 @@ class FlowLimits:
     activity_cap_us: int = 1_800_000_000
     packet_cap: int = 100_000
     sweep_every: int = 200_000
+    mirror_us: int = 2
 
 
 HOUR = 3_600_000_000
@@ -33,7 +38,7 @@ HOUR = 3_600_000_000
 EVENT_LIMITS = FlowLimits(12 * HOUR, 72 * HOUR, 240 * HOUR, 8, 200)
 
 STATS = ("max", "min", "mean", "std")
-#: Fixed order of the feature columns.
+#: The feature columns in their order.
 FEATURES = [
     "protocol", "flow_duration_s", "fwd_packets", "bwd_packets", "fwd_bytes", "bwd_bytes",
     *[f"{w}_len_{s}" for w in ("fwd", "bwd", "pkt") for s in STATS],
@@ -48,23 +53,134 @@ FEATURES = [
 ]
 
 
-def sweep_flags(pk: DataFrame, limits: FlowLimits) -> DataFrame:
-    """``split``: whether a sweep between the key's previous packet and this one found the key idle.
+def with_sweeps(pk: DataFrame, records: DataFrame, limits: FlowLimits) -> DataFrame:
+    """``sweep, sweep_us``: the last sweep of the capture at or before the packet. ``records``: all records of the captures."""
+    every = limits.sweep_every
+    if "capture_file" not in records.columns:
+        records = records.withColumn("capture_file", F.lit(""))
+    sweeps = records.where(F.col("pkt_no") % every == 0).select(F.col("capture_file").alias("_capture"), F.col("pkt_no").alias("_sweep"), F.col("ts_us").alias("sweep_us"))
+    keyed = with_flow_key(pk).withColumn("sweep", F.col("pkt_no") - F.col("pkt_no") % every)
+    return keyed.join(sweeps, F.col("capture_file").eqNullSafe(F.col("_capture")) & (F.col("sweep") == F.col("_sweep")), "left").drop("_capture", "_sweep")
+
+
+def _split(limits: FlowLimits) -> Column:
+    """Whether a sweep between the key's previous packet and this one found the key idle; over rows of ``with_sweeps``.
 
     The last sweep at or before a packet decides, as time does not go backwards along packet numbers.
     """
-    every = limits.sweep_every
-    sweeps = pk.where(F.col("pkt_no") % every == 0).select(F.col("pkt_no").alias("sweep"), F.col("ts_us").alias("sweep_us"))
-    keyed = with_flow_key(pk).withColumn("sweep", F.col("pkt_no") - F.col("pkt_no") % every).join(sweeps, "sweep", "left")
     w = Window.partitionBy(*KEY).orderBy("pkt_no")
     prev_no, prev_us = F.lag("pkt_no").over(w), F.lag("ts_us").over(w)
-    idle = (F.col("sweep") > prev_no) & (F.col("sweep_us") - prev_us >= limits.timeout_us)
-    return keyed.withColumn("split", F.coalesce(idle, F.lit(False)))
+    return F.coalesce((F.col("sweep") > prev_no) & (F.col("sweep_us") - prev_us >= limits.timeout_us), F.lit(False))
+
+
+def sweep_flags(pk: DataFrame, limits: FlowLimits, records: DataFrame | None = None) -> DataFrame:
+    """``split``: whether a sweep ended the key's instance before this packet."""
+    return with_sweeps(pk, pk if records is None else records, limits).repartition(*KEY).withColumn("split", _split(limits))
+
+
+def _may_cap(limits: FlowLimits) -> Column:
+    """Whether the key has enough packets, or lasts long enough, for a cap."""
+    whole = Window.partitionBy(*KEY)
+    return (F.count("*").over(whole) >= limits.packet_cap) | (F.max("ts_us").over(whole) - F.min("ts_us").over(whole) >= limits.activity_cap_us)
+
+
+def _by_splits() -> Column:
+    """Instances where no cap is reached."""
+    return 1 + F.sum(F.col("split").cast("long")).over(Window.partitionBy(*KEY).orderBy("pkt_no"))
+
+
+def _by_caps(flagged: DataFrame, limits: FlowLimits) -> DataFrame:
+    return ordered_fold(flagged, KEY, ["pkt_no"], ["split", "ts_us"], "instance", caps_step(limits.packet_cap, limits.activity_cap_us), dealt=True)
+
+
+def with_instances(pk: DataFrame, limits: FlowLimits = FlowLimits(), records: DataFrame | None = None) -> DataFrame:
+    """``instance``: the number of the flow instance within the key, by sweeps and caps. ``records``: all records, if ``pk`` lacks some."""
+    flagged = sweep_flags(pk, limits, records).withColumn("_fold", _may_cap(limits))
+    plain = flagged.where(~F.col("_fold")).drop("_fold").withColumn("instance", _by_splits())
+    return plain.union(_by_caps(flagged.where("_fold").drop("_fold"), limits).select(*plain.columns))
+
+
+def _mirror_marks(keyed: DataFrame, tolerance: int) -> DataFrame:
+    """``_first``: the frame begins a chain of copies; ``_long``: the chain outlasts the tolerance, or time goes back."""
+    w = Window.partitionBy(*KEY, *IDENTITY).orderBy("pkt_no")
+    gap = F.col("ts_us") - F.lag("ts_us").over(w)
+    out = keyed.withColumn("_first", F.coalesce(F.abs(gap) > tolerance, F.lit(True))).withColumn("_back", F.coalesce(gap < 0, F.lit(False)))
+    began = F.last(F.when(F.col("_first"), F.col("ts_us")), ignorenulls=True).over(w)
+    return out.withColumn("_long", F.col("_back") | (F.abs(F.col("ts_us") - began) > tolerance)).drop("_back")
+
+
+def _fold_mirrors(keyed: DataFrame, tolerance: int) -> DataFrame:
+    out = ordered_fold(keyed, (*KEY, *IDENTITY), ["pkt_no"], ["ts_us"], "_kept", mirror_step(tolerance), dealt=True)
+    return out.where("_kept = 1").drop("_kept")
 
 
-def with_instances(pk: DataFrame, limits: FlowLimits = FlowLimits()) -> DataFrame:
-    """``instance``: the number of the flow instance within the key, by sweeps and caps."""
-    return ordered_fold(sweep_flags(pk, limits), KEY, ["pkt_no"], ["split", "ts_us"], "instance", caps_step(limits.packet_cap, limits.activity_cap_us))
+def drop_mirrors(keyed: DataFrame, tolerance: int = 2) -> DataFrame:
+    """The frames (``with_flow_key``) that are no copy, within ``tolerance`` microseconds, of the last kept frame of their identity."""
+    marked = _mirror_marks(keyed.repartition(*KEY), tolerance)
+    marked = marked.withColumn("_fold", F.max("_long").over(Window.partitionBy(*KEY, *IDENTITY)))
+    plain = marked.where("_first and not _fold").select(*keyed.columns)
+    return plain.union(_fold_mirrors(marked.where("_fold").select(*keyed.columns), tolerance))
+
+
+#: The columns that a stored flow has besides its features.
+METADATA = ["capture_file", "flow_id", "family", "binary_label", "src_ip", "dst_ip", "src_port", "dst_port", "start_ts", "end_ts", "n_packets", "ended_by"]
+
+
+def _with_metadata(flows: DataFrame, captures: DataFrame | None) -> DataFrame:
+    """``captures``: ``capture_file, family, binary_label``, a row a capture."""
+    port = [F.col(c).cast("string") for c in ("src_port", "dst_port")]
+    out = flows.withColumn("flow_id", F.concat_ws("|", F.col("proto").cast("string"), "src_ip", port[0], "dst_ip", port[1]))
+    out = out.withColumn("start_ts", F.col("start_us") / 1e6).withColumn("end_ts", F.col("end_us") / 1e6)
+    if captures is None:
+        null = F.lit(None).cast("string")
+        return out.withColumn("family", null).withColumn("binary_label", null)
+    # As many rows as there are captures; the planner broadcasts them where they are few.
+    return out.join(captures.select("capture_file", "family", "binary_label"), "capture_file", "left")
+
+
+def extract(records: DataFrame, captures: DataFrame | None = None, limits: FlowLimits = FlowLimits()) -> DataFrame:
+    """The flow table: ``METADATA`` and 66 features of every flow in dissected records of any number of captures.
+
+    ``records`` has the capture source's columns. Packets that are parsed are dealt by flow key once; mirrors,
+    sweeps, instances, features follow on that partitioning. Keys that need a fold take it apart from the rest.
+    """
+    parsed = records.where(F.col("status") == "parsed")
+    swept = with_sweeps(parsed, records.select("capture_file", "pkt_no", "ts_us"), limits).repartition(*KEY)
+    columns = [c for c in swept.columns if c not in ("payload", "vlan_tags", "orig_len", "status")]
+    marked = _mirror_marks(swept.select(*columns), limits.mirror_us).withColumn("_cap", _may_cap(limits))
+    marked = marked.withColumn("_fold", F.max(F.col("_long") | F.col("_cap")).over(Window.partitionBy(*KEY)))
+    plain = marked.where("_first and not _fold").select(*columns).withColumn("split", _split(limits)).withColumn("instance", _by_splits())
+    folded = _fold_mirrors(marked.where("_fold").select(*columns), limits.mirror_us).repartition(*KEY).withColumn("split", _split(limits))
+    parts = [flow_features(with_intervals(x, limits)) for x in (plain, _by_caps(folded, limits))]
+    flows = ended_by(parts[0].union(parts[1]), records, limits)
+    return to_float32(_with_metadata(flows, captures)).select(*METADATA, *FEATURES)
+
+
+def extract_captures(spark, root: str, limits: FlowLimits = FlowLimits(), fraction: str = "us") -> DataFrame:
+    """The flow table of all captures below ``root``, with the family and label that their top directory names."""
+    from flowloom.sources import pcap
+
+    pcap.register(spark)
+    found = pcap.discover(spark, root).withColumn("capture_file", F.element_at(F.split("path", "/"), -1))
+    return extract(spark.read.format("pcap").option("fraction", fraction).load(root), found, limits)
+
+
+def window_rows(pk: DataFrame, width_us: int, limits: FlowLimits = FlowLimits()) -> DataFrame:
+    """One causal window an instance with the features of its packets: ``METADATA`` but the labels, features, ``_frozen_at``, ``_window``.
+
+    ``_frozen_at`` is the time, in seconds, of the packet that froze the window, NaN where the capture ended first.
+    """
+    step = early_step(width_us, limits.timeout_us, limits.activity_cap_us, limits.packet_cap)
+    rows = ordered_fold(with_flow_key(pk), KEY, ["pkt_no"], ["ts_us"], "_win", step)
+    # The first packet outside, before the next window starts, is the one that froze it.
+    w = Window.partitionBy(*KEY).orderBy("pkt_no")
+    rows = rows.withColumn("instance", F.max("_win").over(w))
+    frozen = F.min(F.when(F.col("_win") == 0, F.struct("pkt_no", "ts_us"))).over(Window.partitionBy(*KEY, "instance"))["ts_us"] / 1e6
+    rows = rows.withColumn("_frozen", frozen).where("_win > 0").drop("_win")
+    ended = f"window_{width_us / 1e6:g}s"
+    flows = flow_features(with_intervals(rows, limits), extra=[F.first("_frozen").alias("_frozen")])
+    flows = _with_metadata(flows, None).withColumn("ended_by", F.lit(ended)).withColumn("_frozen_at", F.coalesce("_frozen", F.lit(float("nan")))).withColumn("_window", F.lit(width_us / 1e6))
+    return to_float32(flows).select(*[c for c in METADATA if c not in ("family", "binary_label")], "instance", *FEATURES, "_frozen_at", "_window")
 
 
 def with_gap_sessions(pk: DataFrame, gap_us: int) -> DataFrame:
@@ -96,10 +212,11 @@ def _stats(name: str, x: Column, which: tuple[str, ...]) -> list[Column]:
     return [F.coalesce(by[s].cast("double"), F.lit(0.0)).alias(f"{name}_{s}") for s in which]
 
 
-def flow_features(pk: DataFrame, keys: tuple[str, ...] = (*KEY, "instance")) -> DataFrame:
+def flow_features(pk: DataFrame, keys: tuple[str, ...] = (*KEY, "instance"), extra: list[Column] | None = None) -> DataFrame:
     """One row an instance: the key, start, end, packets and the 66 features as doubles.
 
-    ``pk`` comes from ``with_intervals``. ``to_float32`` gives the stored form.
+    ``pk`` comes from ``with_intervals``. ``to_float32`` gives the stored form. ``extra``: further aggregates, kept
+    under names that begin with an underscore.
     """
     fwd, bwd = F.col("fwd"), ~F.col("fwd")
     size, tcp = F.col("incl_len").cast("double"), F.col("proto") == TCP
@@ -148,7 +265,8 @@ def flow_features(pk: DataFrame, keys: tuple[str, ...] = (*KEY, "instance")) ->
         F.coalesce(F.avg(F.when(fwd & tcp, F.col("win"))), F.lit(0.0)).alias("fwd_win_mean"),
         F.coalesce(F.avg(F.when(bwd & tcp, F.col("win"))), F.lit(0.0)).alias("bwd_win_mean"),
     ]
-    flows = pk.groupBy(*keys).agg(*aggs)
+    flows = pk.groupBy(*keys).agg(*aggs, *(extra or []))
+    more = [c for c in flows.columns if c.startswith("_") and c not in ("_nf", "_nb", "_last_f", "_last_b")]
     packets_, bytes_ = F.col("fwd_packets") + F.col("bwd_packets"), F.col("fwd_bytes") + F.col("bwd_bytes")
     flows = flows.withColumn("flow_duration_s", (F.col("end_us") - F.col("start_us")) / 1e6)
     derived = {
@@ -162,7 +280,7 @@ def flow_features(pk: DataFrame, keys: tuple[str, ...] = (*KEY, "instance")) ->
         "flow_bytes_s": safe_ratio(bytes_, F.col("flow_duration_s")),
         "flow_packets_s": safe_ratio(packets_, F.col("flow_duration_s")),
     }
-    return flows.withColumns(derived).select(*keys, "src_ip", "dst_ip", "src_port", "dst_port", "start_us", "end_us", "n_packets", *FEATURES)
+    return flows.withColumns(derived).select(*keys, "src_ip", "dst_ip", "src_port", "dst_port", "start_us", "end_us", "n_packets", *FEATURES, *more)
 
 
 def to_float32(flows: DataFrame) -> DataFrame:
@@ -171,21 +289,29 @@ def to_float32(flows: DataFrame) -> DataFrame:
     return flows.withColumns(clean)
 
 
-def ended_by(flows: DataFrame, pk: DataFrame, limits: FlowLimits = FlowLimits()) -> DataFrame:
-    """Why each instance ended: a cap, a timeout, or the end of the capture.
+def ended_by(flows: DataFrame, records: DataFrame, limits: FlowLimits = FlowLimits()) -> DataFrame:
+    """Why each instance ended: a cap, a timeout, or the end of its capture.
 
-    The last sweep is at the capture's last packet; what it leaves open is a timeout if it has lasted for
-    the timeout, else the capture's end.
+    The last sweep is at the capture's last record, parsed or not; what it leaves open is a timeout if it has
+    lasted for the timeout, else the capture's end.
     """
-    end = F.broadcast(pk.agg(F.max_by("ts_us", "pkt_no").alias("_end")))  # one row
+    if "capture_file" not in records.columns:
+        records = records.withColumn("capture_file", F.lit(""))
+    # One row a capture.
+    end = records.groupBy(F.col("capture_file").alias("_capture")).agg(F.max_by("ts_us", "pkt_no").alias("_end"))
     last = Window.partitionBy(*KEY).orderBy(F.desc("instance"))
     duration = F.col("end_us") - F.col("start_us")
     open_ = (F.row_number().over(last) == 1) & (F.col("_end") - F.col("end_us") < limits.timeout_us)
     kind = F.when(F.col("n_packets") >= limits.packet_cap, "packet_cap").when(duration >= limits.activity_cap_us, "activity_cap").when(open_ & (duration < limits.timeout_us), "capture_end").otherwise("timeout")
-    return flows.join(end, how="cross").withColumn("ended_by", kind).drop("_end")
+    return flows.join(end, F.col("capture_file").eqNullSafe(F.col("_capture"))).withColumn("ended_by", kind).drop("_end", "_capture")
+
+
+def write_flow_table(flows: DataFrame, path: str) -> None:
+    """The stored flow table: Parquet with zstd, in a folder a capture, which loaders prune by."""
+    flows.write.mode("overwrite").option("compression", "zstd").partitionBy("capture_file").parquet(path)
 
 
-def write_flow_table(flows: DataFrame, path: str, capture_col: str | None = None) -> None:
-    """The stored flow table: Parquet with zstd, by capture."""
-    writer = to_float32(flows).write.mode("overwrite").option("compression", "zstd")
-    (writer.partitionBy(capture_col) if capture_col else writer).parquet(path)
+def read_flow_table(spark, path: str, captures: list[str] | None = None) -> DataFrame:
+    """The stored flow table, or of it the captures named: other folders are not read."""
+    out = spark.read.parquet(path)
+    return out if captures is None else out.where(F.col("capture_file").isin(captures))

@@ -10,29 +10,41 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 
-def ordered_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], inputs: Sequence[str], output: str, step: Callable[[object, tuple], tuple[object, object]], kind: str = "long") -> DataFrame:
-    """``df`` with the column ``output``: ``step(state, inputs)`` gives ``(state, value)``; a key's first state is None."""
-    names = df.columns
+def ordered_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], inputs: Sequence[str], output: str, step: Callable[[object, tuple], tuple[object, object]], kind: str = "long", dealt: bool = False) -> DataFrame:
+    """``df`` with the column ``output``: ``step(state, inputs)`` gives ``(state, value)``; a key's first state is None.
+
+    Keys are told apart by a hash of their values and of which are null, beside their order; only the
+    inputs leave Arrow. ``dealt``: the rows are partitioned by the keys already.
+    """
     schema = StructType([*df.schema.fields, StructField(output, StringType() if kind == "string" else LongType())])
+    mark = F.xxhash64(*[x for k in keys for x in (F.col(k).isNull(), F.col(k))])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, state = None, None
-        for pdf in batches:
-            out = []
-            for key, row in zip(zip(*(pdf[k] for k in keys)), zip(*(pdf[c].tolist() for c in inputs)), strict=True):
-                if key != last:
-                    last, state = key, None
+        for b in batches:
+            n = b.num_rows
+            if not n:
+                continue
+            own = b.column(n_cols).to_numpy()
+            new = np.concatenate([[last is None or own[0] != last], own[1:] != own[:-1]])
+            last, out = own[-1], []
+            for fresh, row in zip(new.tolist(), zip(*(b.column(i).to_pylist() for i in at)), strict=True):
+                if fresh:
+                    state = None
                 state, value = step(state, row)
                 out.append(value)
-            yield pdf[names].assign(**{output: pd.Series(out, index=pdf.index, dtype="object" if kind == "string" else None)})
+            yield pa.RecordBatch.from_arrays([*b.columns[:n_cols], pa.array(out, pa.string() if kind == "string" else pa.int64())], names=names)
 
-    return df.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    n_cols, at, names = len(df.columns), [df.columns.index(c) for c in inputs], [*df.columns, output]
+    rows = df if dealt else df.repartition(*[F.col(k) for k in keys])
+    return rows.sortWithinPartitions(*keys, *order).select(*df.columns, mark).mapInArrow(run, schema)
 
 
 def caps_step(packet_cap: int, activity_cap_us: int) -> Callable:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from flowloom.functions.packets import KEY, has_flag, packets, with_flow_key
 from flowloom.operators import audit
-from flowloom.operators.flows import EVENT_LIMITS, FEATURES, HOUR, ended_by, flow_features, to_float32, with_gap_sessions, with_instances, with_intervals
-from flowloom.operators.folds import early_step, mirror_step, ordered_fold, reanchor_step
+from flowloom.operators.flows import EVENT_LIMITS, FEATURES, HOUR, drop_mirrors, ended_by, flow_features, to_float32, with_gap_sessions, with_instances, with_intervals
+from flowloom.operators.folds import early_step, ordered_fold, reanchor_step
 from flowloom.plans.flow_sql import BASE, FEATURE_COLS, INSTANCES_SQL, INTERVALS_SQL, SESSIONS_SQL, TO_FLOWS, early_sql, reanchor_sql
 from flowloom.plans.registry import query
 
@@ -21,18 +21,18 @@ def session_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flow_features(with_intervals(pk, EVENT_LIMITS))
 
 
-@query(f"WITH {TO_FLOWS} SELECT lo, hi, proto, instance, n_packets, {FEATURE_COLS} FROM flows")
+@query(f"WITH {TO_FLOWS} SELECT capture_file, lo, hi, proto, instance, n_packets, {FEATURE_COLS} FROM flows")
 def flow_features_66(spark, sf_dir):
     return to_float32(session_flows(spark, sf_dir)).select(*KEY, "instance", "n_packets", *FEATURES)
 
 
-@query(f"WITH {BASE}, {SESSIONS_SQL} SELECT lo, hi, proto, instance, count(*) AS n_packets, min(ts_us) AS start_us, max(ts_us) AS end_us FROM sessions GROUP BY ALL")
+@query(f"WITH {BASE}, {SESSIONS_SQL} SELECT capture_file, lo, hi, proto, instance, count(*) AS n_packets, min(ts_us) AS start_us, max(ts_us) AS end_us FROM sessions GROUP BY ALL")
 def flow_sessions_gap(spark, sf_dir):
     pk = with_gap_sessions(packets(spark, sf_dir), EVENT_LIMITS.timeout_us)
     return pk.groupBy(*KEY, "instance").agg(F.count("*").alias("n_packets"), F.min("ts_us").alias("start_us"), F.max("ts_us").alias("end_us"))
 
 
-@query(f"WITH RECURSIVE {BASE}, {INSTANCES_SQL} SELECT lo, hi, proto, rn, split FROM swept")
+@query(f"WITH RECURSIVE {BASE}, {INSTANCES_SQL} SELECT capture_file, lo, hi, proto, rn, split FROM swept")
 def flow_sweep_split(spark, sf_dir):
     from flowloom.operators.flows import sweep_flags
 
@@ -40,25 +40,25 @@ def flow_sweep_split(spark, sf_dir):
     return out.select(*KEY, F.row_number().over(Window.partitionBy(*KEY).orderBy("pkt_no")).cast("long").alias("rn"), "split")
 
 
-@query(f"WITH RECURSIVE {BASE}, {INSTANCES_SQL} SELECT lo, hi, proto, instance, count(*) AS n_packets, min(pkt_no) AS first_pkt, max(ts_us) - min(ts_us) AS duration_us FROM walk GROUP BY ALL")
+@query(f"WITH RECURSIVE {BASE}, {INSTANCES_SQL} SELECT capture_file, lo, hi, proto, instance, count(*) AS n_packets, min(pkt_no) AS first_pkt, max(ts_us) - min(ts_us) AS duration_us FROM walk GROUP BY ALL")
 def flow_caps_fold(spark, sf_dir):
     pk = with_instances(packets(spark, sf_dir), EVENT_LIMITS)
     return pk.groupBy(*KEY, "instance").agg(F.count("*").alias("n_packets"), F.min("pkt_no").alias("first_pkt"), (F.max("ts_us") - F.min("ts_us")).alias("duration_us"))
 
 
 @query(f"""WITH RECURSIVE {BASE}, {INSTANCES_SQL}, f AS (
-  SELECT lo, hi, proto, instance, count(*) AS n_packets, min_by(ts_us, pkt_no) AS start_us, max_by(ts_us, pkt_no) AS end_us FROM walk GROUP BY ALL
-), e AS (SELECT max_by(ts_us, pkt_no) AS last_us FROM packets)
-SELECT lo, hi, proto, instance, CASE WHEN n_packets >= {EVENT_LIMITS.packet_cap} THEN 'packet_cap' WHEN end_us - start_us >= {EVENT_LIMITS.activity_cap_us} THEN 'activity_cap'
-  WHEN instance = max(instance) OVER (PARTITION BY lo, hi, proto) AND last_us - end_us < {EVENT_LIMITS.timeout_us} AND end_us - start_us < {EVENT_LIMITS.timeout_us} THEN 'capture_end' ELSE 'timeout' END AS ended_by
-FROM f, e""")
+  SELECT capture_file, lo, hi, proto, instance, count(*) AS n_packets, min_by(ts_us, pkt_no) AS start_us, max_by(ts_us, pkt_no) AS end_us FROM walk GROUP BY ALL
+), e AS (SELECT capture_file, max_by(ts_us, pkt_no) AS last_us FROM packets GROUP BY capture_file)
+SELECT capture_file, lo, hi, proto, instance, CASE WHEN n_packets >= {EVENT_LIMITS.packet_cap} THEN 'packet_cap' WHEN end_us - start_us >= {EVENT_LIMITS.activity_cap_us} THEN 'activity_cap'
+  WHEN instance = max(instance) OVER (PARTITION BY capture_file, lo, hi, proto) AND last_us - end_us < {EVENT_LIMITS.timeout_us} AND end_us - start_us < {EVENT_LIMITS.timeout_us} THEN 'capture_end' ELSE 'timeout' END AS ended_by
+FROM f JOIN e USING (capture_file)""")
 def flow_ended_by(spark, sf_dir):
     pk = packets(spark, sf_dir)
     flows = with_instances(pk, EVENT_LIMITS).groupBy(*KEY, "instance").agg(F.count("*").alias("n_packets"), F.min_by("ts_us", "pkt_no").alias("start_us"), F.max_by("ts_us", "pkt_no").alias("end_us"))
     return ended_by(flows, pk, EVENT_LIMITS).select(*KEY, "instance", "ended_by")
 
 
-@query(f"WITH RECURSIVE {BASE}, {reanchor_sql(DAY)} SELECT lo, hi, proto, win_no, count(*) AS n_packets, min(ts_us) AS start_us, max(ts_us) AS end_us FROM walk GROUP BY ALL")
+@query(f"WITH RECURSIVE {BASE}, {reanchor_sql(DAY)} SELECT capture_file, lo, hi, proto, win_no, count(*) AS n_packets, min(ts_us) AS start_us, max(ts_us) AS end_us FROM walk GROUP BY ALL")
 def causal_window_reanchor(spark, sf_dir):
     pk = ordered_fold(with_flow_key(packets(spark, sf_dir)), KEY, ["pkt_no"], ["ts_us"], "win_no", reanchor_step(DAY))
     return pk.groupBy(*KEY, "win_no").agg(F.count("*").alias("n_packets"), F.min("ts_us").alias("start_us"), F.max("ts_us").alias("end_us"))
@@ -72,7 +72,7 @@ def early_windows(spark: SparkSession, sf_dir: str, days: int) -> DataFrame:
 
 
 def _early(days: int) -> None:
-    sql = f"WITH RECURSIVE {BASE}, {early_sql(days * DAY)} SELECT lo, hi, proto, win_no, count(*) AS n_packets, min(ts_us) AS start_us, max(ts_us) AS end_us FROM walk WHERE win_no > 0 GROUP BY ALL"
+    sql = f"WITH RECURSIVE {BASE}, {early_sql(days * DAY)} SELECT capture_file, lo, hi, proto, win_no, count(*) AS n_packets, min(ts_us) AS start_us, max(ts_us) AS end_us FROM walk WHERE win_no > 0 GROUP BY ALL"
 
     @query(sql, name=f"early_window_{days}")
     def run(spark, sf_dir):
@@ -83,7 +83,7 @@ for _days in (1, 3, 5):
     _early(_days)
 
 
-@query(f"""WITH RECURSIVE {BASE}, {early_sql(DAY)}, {SESSIONS_SQL}, w AS (SELECT DISTINCT lo, hi, proto FROM walk WHERE win_no > 0), t AS (SELECT DISTINCT lo, hi, proto FROM sessions WHERE instance > 1)
+@query(f"""WITH RECURSIVE {BASE}, {early_sql(DAY)}, {SESSIONS_SQL}, w AS (SELECT DISTINCT capture_file, lo, hi, proto FROM walk WHERE win_no > 0), t AS (SELECT DISTINCT capture_file, lo, hi, proto FROM sessions WHERE instance > 1)
 SELECT (SELECT count(*) FROM t) AS terminal, (SELECT count(*) FROM (SELECT * FROM w INTERSECT SELECT * FROM t)) AS covered, (SELECT count(*) FROM (SELECT * FROM w EXCEPT SELECT * FROM t)) AS uncovered""")
 def window_coverage(spark, sf_dir):
     w = early_windows(spark, sf_dir, 1).select(*KEY).distinct()
@@ -93,13 +93,13 @@ def window_coverage(spark, sf_dir):
     return out.crossJoin(F.broadcast(w.exceptAll(t).agg(F.count("*").alias("uncovered"))))
 
 
-@query(f"WITH {BASE}, {SESSIONS_SQL}, {INTERVALS_SQL} SELECT lo, hi, proto, instance, pkt_no, fwd, iat, iat_f, iat_b FROM iv")
+@query(f"WITH {BASE}, {SESSIONS_SQL}, {INTERVALS_SQL} SELECT capture_file, lo, hi, proto, instance, pkt_no, fwd, iat, iat_f, iat_b FROM iv")
 def iat_by_direction(spark, sf_dir):
     pk = with_intervals(with_gap_sessions(packets(spark, sf_dir), EVENT_LIMITS.timeout_us), EVENT_LIMITS)
     return pk.select(*KEY, "instance", "pkt_no", "fwd", "iat", "iat_f", "iat_b")
 
 
-@query(f"WITH {BASE}, {SESSIONS_SQL}, {INTERVALS_SQL} SELECT lo, hi, proto, instance, count(active) AS runs, count(idle) AS gaps, round(coalesce(sum(active), 0), 3) AS active_s, round(coalesce(sum(idle), 0), 3) AS idle_s FROM iv GROUP BY ALL")
+@query(f"WITH {BASE}, {SESSIONS_SQL}, {INTERVALS_SQL} SELECT capture_file, lo, hi, proto, instance, count(active) AS runs, count(idle) AS gaps, round(coalesce(sum(active), 0), 3) AS active_s, round(coalesce(sum(idle), 0), 3) AS idle_s FROM iv GROUP BY ALL")
 def active_idle_periods(spark, sf_dir):
     pk = with_intervals(with_gap_sessions(packets(spark, sf_dir), EVENT_LIMITS.timeout_us), EVENT_LIMITS)
     return pk.groupBy(*KEY, "instance").agg(F.count("active").alias("runs"), F.count("idle").alias("gaps"), F.round(F.coalesce(F.sum("active"), F.lit(0.0)), 3).alias("active_s"), F.round(F.coalesce(F.sum("idle"), F.lit(0.0)), 3).alias("idle_s"))
@@ -111,15 +111,19 @@ def tcp_flag_counts(spark, sf_dir):
     return packets(spark, sf_dir).groupBy("proto").agg(*[F.count_if(has_flag(1 << k)).alias(n) for k, n in enumerate(names)])
 
 
-@query(f"""WITH RECURSIVE {BASE}, r AS (SELECT pkt_no, src, dst, proto, k % 7 AS ident, ts_us, row_number() OVER (PARTITION BY src, dst, proto, k % 7 ORDER BY pkt_no) AS rn FROM packets), walk AS (
+MIRROR = 20 * DAY
+
+
+@query(f"""WITH RECURSIVE {BASE}, r AS (SELECT *, row_number() OVER (PARTITION BY capture_file, proto, src, sport, dst, dport, ip_total, ident ORDER BY pkt_no) AS rn
+  FROM (SELECT capture_file, pkt_no, proto, src, sport, dst, dport, ip_hdr_len + l4_hdr_len + payload_len // 100 AS ip_total, k % 2 AS ident, ts_us FROM packets)), walk AS (
   SELECT *, ts_us AS kept_us, CAST(1 AS BIGINT) AS kept FROM r WHERE rn = 1
-  UNION ALL SELECT r.*, CASE WHEN abs(r.ts_us - w.kept_us) <= {2 * HOUR * 24} THEN w.kept_us ELSE r.ts_us END, CASE WHEN abs(r.ts_us - w.kept_us) <= {2 * HOUR * 24} THEN 0 ELSE 1 END
-  FROM walk w JOIN r ON r.src = w.src AND r.dst = w.dst AND r.proto = w.proto AND r.ident = w.ident AND r.rn = w.rn + 1
-) SELECT pkt_no, kept FROM walk""")
+  UNION ALL SELECT r.*, CASE WHEN abs(r.ts_us - w.kept_us) <= {MIRROR} THEN w.kept_us ELSE r.ts_us END, CASE WHEN abs(r.ts_us - w.kept_us) <= {MIRROR} THEN 0 ELSE 1 END
+  FROM walk w JOIN r ON r.capture_file = w.capture_file AND r.proto = w.proto AND r.src = w.src AND r.sport = w.sport AND r.dst = w.dst AND r.dport = w.dport AND r.ip_total = w.ip_total AND r.ident = w.ident AND r.rn = w.rn + 1
+) SELECT capture_file, pkt_no FROM walk WHERE kept = 1""")
 def mirror_dedup(spark, sf_dir):
-    """Frames within the tolerance (two days here) of the last kept frame of their identity are mirrors."""
-    pk = packets(spark, sf_dir).withColumn("ident", F.col("k") % 7)
-    return ordered_fold(pk, ["src", "dst", "proto", "ident"], ["pkt_no"], ["ts_us"], "kept", mirror_step(2 * HOUR * 24)).select("pkt_no", "kept")
+    """Frames within the tolerance (twenty days here) of the last kept frame of their identity are mirrors; lengths are coarse here."""
+    pk = packets(spark, sf_dir).withColumn("ip_total", F.col("ip_hdr_len") + F.col("l4_hdr_len") + F.floor(F.col("payload_len") / 100)).withColumn("ident", F.col("k") % 2)
+    return drop_mirrors(with_flow_key(pk), MIRROR).select("capture_file", "pkt_no")
 
 
 @query(f"""WITH {BASE}, p AS (SELECT user_id % 10 AS capture, CASE WHEN k % 11 = 0 THEN 'non_ip' WHEN k % 13 = 0 THEN 'malformed' WHEN k % 17 = 0 THEN 'frag' ELSE 'parsed' END AS status FROM packets)
@@ -138,9 +142,9 @@ def dup_feature_rows(spark, sf_dir):
     return audit.duplicate_rows(session_flows(spark, sf_dir), DUP)
 
 
-@query(f"WITH {TO_FLOWS} SELECT lo, hi, instance, n_packets, CAST(fwd_bytes AS DOUBLE) AS fwd_bytes FROM (SELECT *, row_number() OVER (PARTITION BY n_packets, fwd_bytes, bwd_bytes, syn_count ORDER BY start_us, lo, hi) AS rn FROM flows) WHERE rn = 1")
+@query(f"WITH {TO_FLOWS} SELECT capture_file, lo, hi, instance, n_packets, CAST(fwd_bytes AS DOUBLE) AS fwd_bytes FROM (SELECT *, row_number() OVER (PARTITION BY n_packets, fwd_bytes, bwd_bytes, syn_count ORDER BY start_us, capture_file, lo, hi) AS rn FROM flows) WHERE rn = 1")
 def keep_first_rows(spark, sf_dir):
-    return audit.keep_first(session_flows(spark, sf_dir), DUP, ["start_us", "lo", "hi"]).select("lo", "hi", "instance", "n_packets", "fwd_bytes")
+    return audit.keep_first(session_flows(spark, sf_dir), DUP, ["start_us", "capture_file", "lo", "hi"]).select("capture_file", "lo", "hi", "instance", "n_packets", "fwd_bytes")
 
 
 @query(f"""WITH {BASE}, d AS (SELECT DISTINCT user_id % 5 AS g, proto, tcp_flags, payload_len, k FROM packets)
@@ -158,13 +162,13 @@ def constant_columns(spark, sf_dir):
     return audit.column_profile(packets(spark, sf_dir), PROFILE)
 
 
-@query(f"WITH {BASE} SELECT pkt_no FROM (SELECT pkt_no, row_number() OVER (ORDER BY pkt_no) - 1 AS r, (SELECT greatest(1, count(*) // 500) FROM packets) AS step FROM packets) WHERE r % step = 0")
+@query(f"WITH {BASE} SELECT capture_file, pkt_no FROM (SELECT capture_file, pkt_no, row_number() OVER (ORDER BY pkt_no, capture_file) - 1 AS r, (SELECT greatest(1, count(*) // 500) FROM packets) AS step FROM packets) WHERE r % step = 0")
 def systematic_sample(spark, sf_dir):
-    return audit.systematic_sample(packets(spark, sf_dir).select("pkt_no"), ["pkt_no"], 500)
+    return audit.systematic_sample(packets(spark, sf_dir).select("capture_file", "pkt_no"), ["pkt_no", "capture_file"], 500)
 
 
-@query(f"""WITH {TO_FLOWS}, r AS (SELECT lo, hi, proto, instance, sum(incl_len) AS bytes, count(*) AS pkts, (max(ts_us) - min(ts_us)) / 1e6 AS dur FROM sessions GROUP BY ALL), j AS (
-  SELECT bytes AS a1, fwd_bytes + bwd_bytes AS b1, pkts AS a2, f.n_packets AS b2, dur AS a3, flow_duration_s * 1.01 AS b3 FROM r JOIN flows f USING (lo, hi, proto, instance))
+@query(f"""WITH {TO_FLOWS}, r AS (SELECT capture_file, lo, hi, proto, instance, sum(incl_len) AS bytes, count(*) AS pkts, (max(ts_us) - min(ts_us)) / 1e6 AS dur FROM sessions GROUP BY ALL), j AS (
+  SELECT bytes AS a1, fwd_bytes + bwd_bytes AS b1, pkts AS a2, f.n_packets AS b2, dur AS a3, flow_duration_s * 1.01 AS b3 FROM r JOIN flows f USING (capture_file, lo, hi, proto, instance))
 SELECT 'bytes' AS "column", count(*) AS compared, count(*) FILTER (WHERE abs(a1 - b1) > greatest(1, 1e-3 * abs(b1))) AS mismatches FROM j
 UNION ALL SELECT 'packets', count(*), count(*) FILTER (WHERE abs(a2 - b2) > greatest(1, 1e-3 * abs(b2))) FROM j
 UNION ALL SELECT 'duration', count(*), count(*) FILTER (WHERE abs(a3 - b3) > greatest(1, 1e-3 * abs(b3))) FROM j""")
@@ -176,9 +180,9 @@ def rederive_compare(spark, sf_dir):
     return audit.compare_derivations(again, flows, [*KEY, "instance"], ["bytes", "packets", "duration"])
 
 
-@query(f"WITH {BASE}, {SESSIONS_SQL}, {INTERVALS_SQL} SELECT proto, quantile_cont(iat, 0.5) AS p50, quantile_cont(iat, 0.9) AS p90, quantile_cont(iat, 0.99) AS p99, max(iat) AS longest FROM iv GROUP BY proto")
+@query(f"WITH {BASE}, {SESSIONS_SQL}, {INTERVALS_SQL} SELECT proto, round(quantile_cont(iat, 0.5), 6) AS p50, round(quantile_cont(iat, 0.9), 6) AS p90, round(quantile_cont(iat, 0.99), 6) AS p99, max(iat) AS longest FROM iv GROUP BY proto")
 def latency_percentiles(spark, sf_dir):
     pk = with_intervals(with_gap_sessions(packets(spark, sf_dir), EVENT_LIMITS.timeout_us), EVENT_LIMITS)
-    return pk.groupBy("proto").agg(*[F.percentile("iat", q).alias(f"p{round(100 * q)}") for q in (0.5, 0.9, 0.99)], F.max("iat").alias("longest"))
+    return pk.groupBy("proto").agg(*[F.round(F.percentile("iat", q), 6).alias(f"p{round(100 * q)}") for q in (0.5, 0.9, 0.99)], F.max("iat").alias("longest"))
 
 

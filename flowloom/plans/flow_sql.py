@@ -6,8 +6,8 @@ from flowloom.functions.packets import KEYED_SQL, PACKETS_SQL
 from flowloom.operators.flows import EVENT_LIMITS, FEATURES
 
 L = EVENT_LIMITS
-PART = "PARTITION BY lo, hi, proto"
-INST = "PARTITION BY lo, hi, proto, instance"
+PART = "PARTITION BY capture_file, lo, hi, proto"
+INST = "PARTITION BY capture_file, lo, hi, proto, instance"
 
 SESSIONS_SQL = f"""sessions AS (
   SELECT *, CAST(sum(fresh) OVER ({PART} ORDER BY pkt_no) AS BIGINT) AS instance FROM (
@@ -40,7 +40,7 @@ def _flag(mask: int) -> str:
 
 LEN, IAT = ("max", "min", "mean", "std"), ("mean", "std", "max", "min")
 FLOWS_SQL = f"""raw_flows AS (
-  SELECT lo, hi, proto, instance, min_by(src, pkt_no) AS src_ip, min_by(dst, pkt_no) AS dst_ip, min_by(sport, pkt_no) AS src_port, min_by(dport, pkt_no) AS dst_port,
+  SELECT capture_file, lo, hi, proto, instance, min_by(src, pkt_no) AS src_ip, min_by(dst, pkt_no) AS dst_ip, min_by(sport, pkt_no) AS src_port, min_by(dport, pkt_no) AS dst_port,
     min_by(ts_us, pkt_no) AS start_us, max_by(ts_us, pkt_no) AS end_us, count(*) AS n_packets, CAST(proto AS DOUBLE) AS protocol,
     (max_by(ts_us, pkt_no) - min_by(ts_us, pkt_no)) / 1e6 AS flow_duration_s,
     {_count('fwd', 'fwd_packets')}, {_count('NOT fwd', 'bwd_packets')},
@@ -56,7 +56,7 @@ FLOWS_SQL = f"""raw_flows AS (
     {_count('fwd AND payload_len > 0', 'fwd_data_pkts')}, {_count('NOT fwd AND payload_len > 0', 'bwd_data_pkts')},
     {_stats('active', 'active', IAT)}, {_stats('idle', 'idle', IAT)},
     coalesce(avg(CASE WHEN fwd AND proto = 6 THEN win END), 0) AS fwd_win_mean, coalesce(avg(CASE WHEN NOT fwd AND proto = 6 THEN win END), 0) AS bwd_win_mean
-  FROM iv GROUP BY lo, hi, proto, instance
+  FROM iv GROUP BY capture_file, lo, hi, proto, instance
 ), flows AS (
   SELECT *, CASE WHEN fwd_packets > 0 THEN bwd_packets / fwd_packets ELSE 0 END AS down_up_ratio,
     (fwd_bytes + bwd_bytes) / (fwd_packets + bwd_packets) AS avg_pkt_size,
@@ -70,7 +70,7 @@ FLOWS_SQL = f"""raw_flows AS (
 CLOSED_SQL = """closed AS (
   SELECT src_ip AS src, dst_ip AS dst, src_port, dst_port, start_us, end_us, n_packets, CAST(fwd_bytes AS DOUBLE) AS fwd_bytes, CAST(bwd_bytes AS DOUBLE) AS bwd_bytes,
     proto = 6 AND syn_count > 0 AND ack_count = 0 AS syn_only, proto = 6 AND rst_count > 0 AS rst_seen, proto, syn_count, rst_count, flow_packets_s, flow_duration_s,
-    lo || '|' || hi || '|' || CAST(instance AS VARCHAR) AS flow_no, floor(end_us / 1e6 / 86400) * 86400 AS bucket
+    capture_file || '|' || lo || '|' || hi || '|' || CAST(instance AS VARCHAR) AS flow_no, floor(end_us / 1e6 / 86400) * 86400 AS bucket
   FROM flows
 )"""
 
@@ -80,7 +80,7 @@ TO_CLOSED = f"{TO_FLOWS}, {CLOSED_SQL}"
 FEATURE_COLS = ", ".join(f"CAST({c} AS FLOAT) AS {c}" for c in FEATURES)
 
 
-def ordered(cols: str = "lo, hi, proto") -> str:
+def ordered() -> str:
     """Packets with a row number within their key, for recursive folds."""
     return f"ranked AS (SELECT *, row_number() OVER ({PART} ORDER BY pkt_no) AS rn FROM keyed)"
 
@@ -88,25 +88,25 @@ def ordered(cols: str = "lo, hi, proto") -> str:
 #: Instances by sweeps and caps: a recursive walk along each key.
 INSTANCES_SQL = f"""swept AS (
   SELECT k.*, row_number() OVER ({PART} ORDER BY k.pkt_no) AS rn,
-    coalesce(k.pkt_no - k.pkt_no % {L.sweep_every} > lag(k.pkt_no) OVER ({PART} ORDER BY k.pkt_no) AND s.ts_us - lag(k.ts_us) OVER ({PART} ORDER BY k.pkt_no) >= {L.timeout_us}, false) AS split
-  FROM keyed k LEFT JOIN (SELECT pkt_no, ts_us FROM packets) s ON s.pkt_no = k.pkt_no - k.pkt_no % {L.sweep_every}
+    coalesce(k.pkt_no - k.pkt_no % {L.sweep_every} > lag(k.pkt_no) OVER ({PART} ORDER BY k.pkt_no) AND sweep_us - lag(k.ts_us) OVER ({PART} ORDER BY k.pkt_no) >= {L.timeout_us}, false) AS split
+  FROM keyed k LEFT JOIN (SELECT capture_file AS of_capture, pkt_no AS sweep_no, ts_us AS sweep_us FROM packets) s ON of_capture = k.capture_file AND sweep_no = k.pkt_no - k.pkt_no % {L.sweep_every}
 ), walk AS (
-  SELECT lo, hi, proto, rn, pkt_no, ts_us, CAST(1 AS BIGINT) AS instance, ts_us AS start_us, 1 AS n FROM swept WHERE rn = 1
+  SELECT capture_file, lo, hi, proto, rn, pkt_no, ts_us, CAST(1 AS BIGINT) AS instance, ts_us AS start_us, 1 AS n FROM swept WHERE rn = 1
   UNION ALL
-  SELECT s.lo, s.hi, s.proto, s.rn, s.pkt_no, s.ts_us,
+  SELECT s.capture_file, s.lo, s.hi, s.proto, s.rn, s.pkt_no, s.ts_us,
     CASE WHEN s.split OR w.n >= {L.packet_cap} OR w.ts_us - w.start_us >= {L.activity_cap_us} THEN w.instance + 1 ELSE w.instance END,
     CASE WHEN s.split OR w.n >= {L.packet_cap} OR w.ts_us - w.start_us >= {L.activity_cap_us} THEN s.ts_us ELSE w.start_us END,
     CASE WHEN s.split OR w.n >= {L.packet_cap} OR w.ts_us - w.start_us >= {L.activity_cap_us} THEN 1 ELSE w.n + 1 END
-  FROM walk w JOIN swept s ON s.lo = w.lo AND s.hi = w.hi AND s.proto = w.proto AND s.rn = w.rn + 1
+  FROM walk w JOIN swept s ON s.capture_file = w.capture_file AND s.lo = w.lo AND s.hi = w.hi AND s.proto = w.proto AND s.rn = w.rn + 1
 )"""
 
 
 def reanchor_sql(width_us: int) -> str:
     return f"""{ordered()}, walk AS (
-  SELECT lo, hi, proto, rn, pkt_no, ts_us, CAST(1 AS BIGINT) AS win_no, ts_us AS start_us FROM ranked WHERE rn = 1
+  SELECT capture_file, lo, hi, proto, rn, pkt_no, ts_us, CAST(1 AS BIGINT) AS win_no, ts_us AS start_us FROM ranked WHERE rn = 1
   UNION ALL
-  SELECT r.lo, r.hi, r.proto, r.rn, r.pkt_no, r.ts_us, CASE WHEN r.ts_us > w.start_us + {width_us} THEN w.win_no + 1 ELSE w.win_no END, CASE WHEN r.ts_us > w.start_us + {width_us} THEN r.ts_us ELSE w.start_us END
-  FROM walk w JOIN ranked r ON r.lo = w.lo AND r.hi = w.hi AND r.proto = w.proto AND r.rn = w.rn + 1
+  SELECT r.capture_file, r.lo, r.hi, r.proto, r.rn, r.pkt_no, r.ts_us, CASE WHEN r.ts_us > w.start_us + {width_us} THEN w.win_no + 1 ELSE w.win_no END, CASE WHEN r.ts_us > w.start_us + {width_us} THEN r.ts_us ELSE w.start_us END
+  FROM walk w JOIN ranked r ON r.capture_file = w.capture_file AND r.lo = w.lo AND r.hi = w.hi AND r.proto = w.proto AND r.rn = w.rn + 1
 )"""
 
 
@@ -114,11 +114,11 @@ def early_sql(width_us: int) -> str:
     fresh = f"(NOT w.active AND (r.ts_us - w.last_us >= {L.timeout_us} OR r.ts_us - w.start_us >= {L.activity_cap_us} OR w.n >= {L.packet_cap}))"
     add = f"(w.active AND r.ts_us <= w.start_us + {width_us})"
     return f"""{ordered()}, walk AS (
-  SELECT lo, hi, proto, rn, pkt_no, ts_us, CAST(1 AS BIGINT) AS number, CAST(1 AS BIGINT) AS win_no, true AS active, ts_us AS start_us, ts_us AS last_us, 1 AS n FROM ranked WHERE rn = 1
+  SELECT capture_file, lo, hi, proto, rn, pkt_no, ts_us, CAST(1 AS BIGINT) AS number, CAST(1 AS BIGINT) AS win_no, true AS active, ts_us AS start_us, ts_us AS last_us, 1 AS n FROM ranked WHERE rn = 1
   UNION ALL
-  SELECT r.lo, r.hi, r.proto, r.rn, r.pkt_no, r.ts_us, CASE WHEN {fresh} THEN w.number + 1 ELSE w.number END, CASE WHEN {fresh} THEN w.number + 1 WHEN {add} THEN w.number ELSE 0 END,
+  SELECT r.capture_file, r.lo, r.hi, r.proto, r.rn, r.pkt_no, r.ts_us, CASE WHEN {fresh} THEN w.number + 1 ELSE w.number END, CASE WHEN {fresh} THEN w.number + 1 WHEN {add} THEN w.number ELSE 0 END,
     {fresh} OR {add}, CASE WHEN {fresh} THEN r.ts_us ELSE w.start_us END,
     CASE WHEN {fresh} OR {add} THEN r.ts_us WHEN w.active THEN w.last_us ELSE greatest(w.last_us, r.ts_us) END,
     CASE WHEN {fresh} THEN 1 WHEN {add} THEN w.n + 1 ELSE w.n END
-  FROM walk w JOIN ranked r ON r.lo = w.lo AND r.hi = w.hi AND r.proto = w.proto AND r.rn = w.rn + 1
+  FROM walk w JOIN ranked r ON r.capture_file = w.capture_file AND r.lo = w.lo AND r.hi = w.hi AND r.proto = w.proto AND r.rn = w.rn + 1
 )"""

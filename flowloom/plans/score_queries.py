@@ -24,7 +24,7 @@ def closed_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     flows = f.select(
         F.col("src_ip").alias("src"), F.col("dst_ip").alias("dst"), "src_port", "dst_port", "start_us", "end_us", "n_packets", "fwd_bytes", "bwd_bytes",
         (tcp & (F.col("syn_count") > 0) & (F.col("ack_count") == 0)).alias("syn_only"), (tcp & (F.col("rst_count") > 0)).alias("rst_seen"),
-        "proto", "syn_count", "rst_count", "flow_packets_s", "flow_duration_s", F.concat_ws("|", "lo", "hi", F.col("instance").cast("string")).alias("flow_no"),
+        "proto", "syn_count", "rst_count", "flow_packets_s", "flow_duration_s", F.concat_ws("|", "capture_file", "lo", "hi", F.col("instance").cast("string")).alias("flow_no"),
     )
     return A.with_bucket(flows, DAY_S)
 

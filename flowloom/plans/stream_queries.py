@@ -52,7 +52,7 @@ def pair_state_stream(spark, sf_dir):
     return out.groupBy("src", "dst").agg(F.max("events").alias("events"), F.max("kept").alias("kept"), F.min("first_us").alias("first_us"))
 
 
-@query(f"WITH RECURSIVE keyed AS (SELECT user_id AS lo, 0 AS hi, 0 AS proto, event_id AS pkt_no, epoch_us(ts) AS ts_us FROM events), {early_sql(DAY_US)} SELECT lo AS user_id, pkt_no AS event_id, win_no FROM walk")
+@query(f"WITH RECURSIVE keyed AS (SELECT '' AS capture_file, user_id AS lo, 0 AS hi, 0 AS proto, event_id AS pkt_no, epoch_us(ts) AS ts_us FROM events), {early_sql(DAY_US)} SELECT lo AS user_id, pkt_no AS event_id, win_no FROM walk")
 def guarded_window_stream(spark, sf_dir):
     lim = EVENT_LIMITS
     return run_available(guarded_windows(event_stream(spark, sf_dir), "user_id", DAY_US, lim.timeout_us, lim.activity_cap_us, lim.packet_cap))

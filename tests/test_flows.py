@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowloom.functions.packets import KEY, is_group_address, with_flow_key
-from flowloom.operators.flows import FEATURES, FlowLimits, flow_features, to_float32, with_gap_sessions, with_instances, with_intervals
+from flowloom.operators.flows import FEATURES, METADATA, FlowLimits, drop_mirrors, extract, extract_captures, flow_features, read_flow_table, to_float32, window_rows, with_gap_sessions, with_instances, with_intervals, write_flow_table
 from flowloom.operators.folds import caps_step, cooldown_step, early_step, mirror_step, ordered_fold, reanchor_step
 
 COLS = "pkt_no long, ts_us long, proto int, src string, dst string, sport int, dport int, tcp_flags int, win int, ip_hdr_len int, l4_hdr_len int, incl_len int, payload_len int"
@@ -135,3 +135,141 @@ def test_folds_stay_whole_over_batches(spark):
 def test_group_addresses(spark):
     rows = spark.createDataFrame([("224.0.0.5",), ("10.0.0.255",), ("10.0.0.1",), (None,), ("x",)], "ip string")
     assert [r[0] for r in rows.select(is_group_address(F.col("ip"))).collect()] == [True, True, False, False, False]
+
+
+def test_captures_stay_apart(spark):
+    """The same packets in three captures are three times the flows, not one of all."""
+    rows = [(f"c{c}", k, k * 10, 6, *ends, 16, 1, 20, 20, 60, 0) for c in range(3) for k in range(1, 12) for ends in [("10.0.0.1", "10.0.0.2", 1, 2) if k % 2 else ("10.0.0.2", "10.0.0.1", 2, 1)]]
+    out = with_instances(spark.createDataFrame(rows, "capture_file string, " + COLS), FlowLimits(S, 50, 300, 6, 4))
+    assert out.count() == 33
+    by = out.groupBy("capture_file", "instance").count().collect()
+    assert sorted((r["capture_file"], r["instance"], r["count"]) for r in by) == [(f"c{c}", i, n) for c in range(3) for i, n in ((1, 6), (2, 5))]
+
+
+def test_null_keys_are_keys(spark):
+    rows = [(None, 5, k, k) for k in range(6)] + [(5, None, k, k) for k in range(6)] + [(None, None, k, k) for k in range(3)]
+    df = spark.createDataFrame(rows, "a int, b int, n int, ts long")
+    out = ordered_fold(df, ["a", "b"], ["n"], ["ts"], "kept", mirror_step(100))
+    assert sorted((str(r["a"]), str(r["b"])) for r in out.where("kept = 1").collect()) == [("5", "None"), ("None", "5"), ("None", "None")]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_mirrors_equal_the_fold(spark, seed):
+    rng = random.Random(seed)
+    rows, ts = [], 0
+    for k in range(1, 500):
+        ts += rng.choice([0, 0, 1, 2, 3, 9]) - (rng.random() < 0.05) * 4
+        rows.append((f"c{k % 2}", k, ts, 6, "a", rng.choice("bc"), 1, 2, rng.randrange(2)))
+    df = with_flow_key(spark.createDataFrame(rows, "capture_file string, pkt_no long, ts_us long, proto int, src string, dst string, sport int, dport int, ident int").withColumn("ip_total", F.lit(40)))
+    last, want = {}, set()
+    for c, k, t, _, _, dst, _, _, ident in rows:
+        if (c, dst, ident) not in last or abs(t - last[c, dst, ident]) > 2:
+            last[c, dst, ident] = t
+            want.add(k)
+    assert {r["pkt_no"] for r in drop_mirrors(df, 2).collect()} == want
+
+
+def written_captures(root):
+    """Two captures of a random trace with mirrors, broken frames and one idle end, as files; and the trace."""
+    from flowloom.sources import pcap
+
+    traces, rng = {}, random.Random(4)
+    for name, family in (("one", "Legitimate Traffic"), ("two", "UDP Flood")):
+        ts, frames, trace = 1_700_000_000_000_000, [], []
+        for k in range(300):
+            ts += rng.choice([1, 1, 40, 900, 2500])
+            if k % 23 == 5:
+                frames.append((ts, b"broken"))
+                trace.append((ts, None))
+                continue
+            a, b = rng.choice([("10.0.0.1", "10.0.0.2"), ("10.0.0.2", "10.0.0.1"), ("10.0.0.1", "10.0.0.3")])
+            proto = rng.choice([6, 17])
+            ports = (1000, 80) if a < b else (80, 1000)
+            payload = bytes([k % 251]) * rng.randrange(1, 40)
+            f = pcap.frame(a, b, proto, *ports, payload, seq=k)
+            for copy in range(rng.choice([1, 1, 2, 3])):
+                frames.append((ts + copy, pcap.frame(a, b, proto, *ports, payload, seq=k, tags=copy)))
+                trace.append((ts + copy, (proto, a, ports[0], b, ports[1], len(f), len(f) + 4 * copy, k)))
+            ts += 2
+        (root / family).mkdir()
+        pcap.write_pcap(str(root / family / f"{name}.pcap"), frames)
+        traces[f"{name}.pcap"] = trace
+    return traces
+
+
+def metered(trace, limits):
+    """A sequential meter: ``{(flow, start, end, packets, bytes, ended_by)}`` of one capture."""
+    flows, out, kept = {}, [], {}
+
+    def end(key, why):
+        first, start, last, n, size = flows.pop(key)
+        out.append(("|".join(map(str, (first[0], first[1], first[2], first[3], first[4]))), start, last, n, size, why))
+
+    for no, (ts, packet) in enumerate(trace, 1):
+        if no % limits.sweep_every == 0:
+            for key in [k for k, f in flows.items() if ts - f[2] >= limits.timeout_us]:
+                end(key, "timeout")
+        if packet is None:
+            continue
+        identity = (*packet[:6], packet[7])
+        if identity in kept and abs(ts - kept[identity]) <= limits.mirror_us:
+            continue
+        kept[identity] = ts
+        proto, a, pa, b, pb, _, size, _ = packet
+        key = (proto, *sorted([(a, pa), (b, pb)]))
+        first, start, _, n, total = flows.get(key, (packet, ts, ts, 0, 0))
+        flows[key] = (first, start, ts, n + 1, total + size)
+        if n + 1 >= limits.packet_cap:
+            end(key, "packet_cap")
+        elif ts - start >= limits.activity_cap_us:
+            end(key, "activity_cap")
+    for key in list(flows):
+        _, start, last, _, _ = flows[key]
+        end(key, "timeout" if trace[-1][0] - last >= limits.timeout_us or last - start >= limits.timeout_us else "capture_end")
+    return out
+
+
+@pytest.mark.parametrize("limits", [FlowLimits(500, 3000, 10**9, 10**6, 20), FlowLimits(500, 3000, 20_000, 9, 20)])
+def test_flow_table_of_captures(spark, tmp_path, limits):
+    (tmp_path / "in").mkdir()
+    traces = written_captures(tmp_path / "in")
+    flows = extract_captures(spark, str(tmp_path / "in"), limits)
+    assert flows.columns == [*METADATA, *FEATURES] and {t for c, t in flows.dtypes if c in FEATURES} == {"float"}
+    rows = flows.collect()
+    got = sorted((r["capture_file"], r["flow_id"], round(r["start_ts"] * 1e6), round(r["end_ts"] * 1e6), r["n_packets"], r["fwd_bytes"] + r["bwd_bytes"], r["ended_by"]) for r in rows)
+    assert got == sorted((name, *f) for name, trace in traces.items() for f in metered(trace, limits))
+    assert {(r["capture_file"], r["family"], r["binary_label"]) for r in rows} == {("one.pcap", "benign", "benign"), ("two.pcap", "udp_flood", "attack")}
+    write_flow_table(flows, f"{tmp_path}/flows")
+    back = read_flow_table(spark, f"{tmp_path}/flows", ["two.pcap"])
+    assert back.count() == sum(r["capture_file"] == "two.pcap" for r in rows)
+    assert "PartitionFilters: [isnotnull(capture_file" in back._jdf.queryExecution().toString() or "PartitionFilters: [(capture_file" in back._jdf.queryExecution().toString()
+
+
+def test_window_rows_hold_features(spark):
+    rng = random.Random(3)
+    ts, rows = 0, []
+    for _ in range(200):
+        ts += rng.choice([1, 5, 40, 200])
+        rows.append((ts, rng.random() < 0.6, 16, rng.randrange(50)))
+    limits = FlowLimits(20, 150, 10**9, 10**9)
+    pk = packets(spark, rows)
+    ids = {}
+    for w in (10, 30, 50):
+        out = window_rows(pk, w, limits).collect()
+        assert all(r["ended_by"] == f"window_{w / 1e6:g}s" and r["_window"] == w / 1e6 and r["n_packets"] >= 1 for r in out)
+        assert all(r["end_ts"] - r["start_ts"] <= w / 1e6 + 1e-6 and r["flow_duration_s"] <= w / 1e6 + 1e-6 for r in out)
+        frozen = [r["_frozen_at"] for r in sorted(out, key=lambda r: r["instance"])]
+        assert all(f > r["start_ts"] + w / 1e6 for f, r in zip(frozen, sorted(out, key=lambda r: r["instance"]), strict=True) if f == f)
+        assert sum(f != f for f in frozen) <= 1
+        ids[w] = {(r["instance"], r["start_ts"]) for r in out}
+    # Rows whose window has closed don't change when what comes later is cut off.
+    whole = {r["instance"]: r for r in window_rows(pk, 30, limits).collect()}
+    cut = {r["instance"]: r for r in window_rows(pk.where("pkt_no <= 120"), 30, limits).collect()}
+    closed = [k for k, r in cut.items() if r["_frozen_at"] == r["_frozen_at"]]
+    assert closed and all(cut[k] == whole[k] for k in closed)
+
+
+def test_extract_of_nothing(spark):
+    from flowloom.sources import pcap
+
+    assert extract(spark.createDataFrame([], pcap.SCHEMA)).count() == 0
