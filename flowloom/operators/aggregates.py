@@ -31,15 +31,45 @@ def source_fanout(flows: DataFrame) -> DataFrame:
 def pair_series(flows: DataFrame, most: int = 256) -> DataFrame:
     """Per pair: the first ``most`` start times in order, and bytes both ways.
 
-    Ranks come before collecting, so a busy pair never gathers more than ``most`` times.
+    Ranks are cut at ``most`` before the rows are dealt, so a busy pair neither moves nor gathers more; bytes
+    are summed apart, with partial sums.
     """
     w = Window.partitionBy("src", "dst").orderBy("start_us", "flow_no")
-    ranked = flows.withColumn("rn", F.row_number().over(w))
-    return ranked.groupBy("src", "dst").agg(
-        F.array_sort(F.collect_list(F.when(F.col("rn") <= most, F.col("start_us")))).alias("starts"),
-        F.sum("fwd_bytes").cast("long").alias("bytes_out"),
-        F.sum("bwd_bytes").cast("long").alias("bytes_in"),
-    )
+    first = flows.select("src", "dst", "start_us", "flow_no").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most)
+    starts = first.groupBy("src", "dst").agg(F.array_sort(F.collect_list("start_us")).alias("starts"))
+    sums = flows.groupBy("src", "dst").agg(F.sum("fwd_bytes").cast("long").alias("bytes_out"), F.sum("bwd_bytes").cast("long").alias("bytes_in"))
+    on = starts["src"].eqNullSafe(sums["src"]) & starts["dst"].eqNullSafe(sums["dst"])
+    return starts.join(sums, on).select(starts["src"], starts["dst"], "starts", "bytes_out", "bytes_in")
+
+
+def rolling_pairs(flows: DataFrame, width_s: float, ttl_s: float = 900.0) -> DataFrame:
+    """Per pair and bucket: the regularity of the pair's start times in the buckets of the last ``ttl_s``, as in ``interval_stats``.
+
+    Events are summed up by bucket first; a bucket then looks back over at most ``ttl_s / width_s`` sums,
+    however busy the pair is.
+    """
+    order = Window.partitionBy("src", "dst").orderBy("bucket", "start_us", "flow_no")
+    gap = (F.col("start_us") - F.lag("start_us").over(order)) / 1e6
+    rows = flows.select("src", "dst", "bucket", "start_us", "flow_no").withColumn("gap", F.when(gap > 0, gap))
+    rows = rows.withColumn("lead", F.row_number().over(Window.partitionBy("src", "dst", "bucket").orderBy("start_us", "flow_no")) == 1)
+    inner = F.when(~F.col("lead"), F.col("gap"))
+    at = rows.groupBy("src", "dst", "bucket").agg(
+        F.count("*").alias("n"), F.min("start_us").alias("first_us"), F.max("start_us").alias("last_us"), F.count(inner).alias("g"), F.coalesce(F.sum(inner), F.lit(0.0)).alias("g1"),
+        F.coalesce(F.sum(inner * inner), F.lit(0.0)).alias("g2"), F.max(F.when(F.col("lead"), F.col("gap"))).alias("into"),
+    )
+    back = Window.partitionBy("src", "dst").orderBy(F.round(F.col("bucket") * 1e6).cast("long")).rangeBetween(-round(ttl_s * 1e6), 0)
+    # The gap into the first bucket belongs to an event before it.
+    edge = F.min(F.struct("bucket", "into")).over(back)["into"]
+    into = F.coalesce("into", F.lit(0.0))
+    out = at.withColumn("_edge", edge).select(
+        "src", "dst", "bucket", F.sum("n").over(back).alias("events"), (F.sum(F.col("g") + F.col("into").isNotNull().cast("long")).over(back) - F.col("_edge").isNotNull().cast("long")).alias("gaps"),
+        (F.sum(F.col("g1") + into).over(back) - F.coalesce("_edge", F.lit(0.0))).alias("_s1"), (F.sum(F.col("g2") + into * into).over(back) - F.coalesce(F.col("_edge") * F.col("_edge"), F.lit(0.0))).alias("_s2"),
+        ((F.max("last_us").over(back) - F.min("first_us").over(back)) / 1e6).alias("span"),
+    )
+    mean = F.when(F.col("gaps") > 0, F.col("_s1") / F.col("gaps"))
+    out = out.withColumn("mean_gap", mean).withColumn("_var", F.when(F.col("gaps") > 0, F.greatest(F.col("_s2") / F.col("gaps") - F.col("mean_gap") * F.col("mean_gap"), F.lit(0.0))))
+    out = out.withColumn("cv", F.when(F.col("mean_gap") > 0, F.sqrt("_var") / F.col("mean_gap")).otherwise(1e9))
+    return out.withColumn("rate", F.when(F.col("span") > 0, F.col("events") / F.col("span")).otherwise(0.0)).drop("_s1", "_s2", "_var")
 
 
 def host_volume(flows: DataFrame) -> DataFrame:
@@ -103,9 +133,9 @@ def name_features(name: Column) -> dict[str, Column]:
     }
 
 
-def names_by_domain(queries: DataFrame) -> DataFrame:
-    """``queries``: ``seq, src, qname, qtype`` and the name features. One row a registrable domain."""
-    return queries.groupBy("registrable").agg(
+def names_by_domain(queries: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``queries``: ``seq, src, qname, qtype`` and the name features. One row a registrable domain (and ``keys``)."""
+    return queries.groupBy(*keys, "registrable").agg(
         F.count("*").alias("queries"),
         F.count_distinct("qname").alias("unique_names"),
         F.avg("entropy").alias("mean_entropy"),
@@ -117,9 +147,9 @@ def names_by_domain(queries: DataFrame) -> DataFrame:
     )
 
 
-def sessions_by_source(sessions: DataFrame) -> DataFrame:
-    """``sessions``: ``src, dst_port, fingerprint`` (null: unavailable). The ports are the eight least."""
-    return sessions.groupBy("src").agg(
+def sessions_by_source(sessions: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``sessions``: ``src, dst_port, fingerprint`` (null: unavailable), by source (and ``keys``). The ports are the eight least."""
+    return sessions.groupBy(*keys, "src").agg(
         F.count("*").alias("sessions"),
         F.count_distinct(F.coalesce("fingerprint", F.lit("fingerprint_unavailable"))).alias("unique_fingerprints"),
         F.count_distinct("fingerprint").alias("available"),

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowloom.operators.ranks import with_rank
+
 
 def duplicate_rows(df: DataFrame, cols: list[str]) -> DataFrame:
     """Rows, distinct rows and surplus rows on ``cols``; grouping keeps copies from meeting."""
@@ -41,23 +43,20 @@ def column_profile(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def systematic_sample(df: DataFrame, order: list[str], target: int = 20_000) -> DataFrame:
-    """Every k-th row in order, k = max(1, n // target).
-
-    Ranks need one total order. Rows are ranged by order first, so that each partition counts its own and
-    adds the sizes of those before it; only the sizes are collected.
-    """
+    """Every k-th row in order, k = max(1, n // target); a number leads the order."""
     k = max(1, df.count() // target)
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    sizes = {r["_p"]: r["count"] for r in parts.groupBy("_p").count().collect()}
-    before, total = {}, 0
-    for p in sorted(sizes):
-        before[p] = total
-        total += sizes[p]
-    if not sizes:
-        return df
-    start = F.element_at(F.create_map(*[x for p, n in before.items() for x in (F.lit(p), F.lit(n))]), F.col("_p"))
-    rank = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1 + start
-    return parts.withColumn("_r", rank).where(F.col("_r") % k == 0).drop("_p", "_r")
+    return with_rank(df, order, "_r").where((F.col("_r") - 1) % k == 0).drop("_r")
+
+
+def seeded_sample(df: DataFrame, key: list[str], n: int, seed: int = 42) -> DataFrame:
+    """``n`` rows drawn by a seeded hash of ``key``: the same ones whatever the partitions."""
+    return df.orderBy(F.xxhash64(F.lit(seed), *key), *key).limit(n)
+
+
+def capture_duplicates(flows: DataFrame) -> DataFrame:
+    """Per capture: flows, distinct flow ids and surplus ones."""
+    each = flows.groupBy("capture_file", "flow_id").agg(F.count("*").alias("n"))
+    return each.groupBy("capture_file").agg(F.sum("n").alias("flows"), F.count("*").alias("flow_ids"), F.sum(F.col("n") - 1).alias("duplicates"))
 
 
 def accounting(packets: DataFrame, key: str, status: str, kinds: list[str]) -> DataFrame:

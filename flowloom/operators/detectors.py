@@ -28,23 +28,29 @@ def clamp01(x: Column) -> Column:
     return F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
 
 
-def _result(df: DataFrame, kind: str, entity: str, score: Column, subtype: Column, bucket: Column, evidence: list[str]) -> DataFrame:
+def _result(df: DataFrame, kind: str, entity: str, score: Column, subtype: Column, bucket: Column, evidence: list[str | Column]) -> DataFrame:
     facts = F.to_json(F.struct(*evidence))
     out = df.withColumn("score", clamp01(score)).select(F.lit(kind).alias("threat_class"), F.col(entity).alias("entity"), bucket.alias("bucket"), "score", F.col("score").alias("confidence"), subtype.alias("subtype"), facts.alias("evidence"))
     return out.withColumn("active", F.col("score") >= SUSPICIOUS)
 
 
+def _bucket(df: DataFrame) -> Column:
+    """The bucket of aggregates that have one, else 0."""
+    return F.col("bucket") if "bucket" in df.columns else F.lit(0.0)
+
+
 def beacon_score(min_events: int = 6, strong: float = 0.35, weak: float = 0.65) -> Column:
     cv = F.when(F.col("cv") <= strong, 1.0).when(F.col("cv") < weak, (weak - F.col("cv")) / (weak - strong)).otherwise(0.0)
     return 0.7 * cv + 0.3 * F.least(F.lit(1.0), F.col("events") / (2.0 * min_events))
 
 
 def c2_beacon(pairs: DataFrame, min_events: int = 6, min_interval_s: float = 1.0, max_rate: float = 0.5) -> DataFrame:
-    """``pairs``: output of ``interval_stats``. Low-rate, regular repetition between two hosts."""
+    """``pairs``: output of ``interval_stats`` or ``rolling_pairs``. Low-rate, regular repetition between two hosts."""
     fits = (F.col("events") >= min_events) & (F.col("gaps") >= min_events - 1) & (F.col("mean_gap") >= min_interval_s) & ((F.col("span") <= 0) | (F.col("rate") <= max_rate))
-    scored = pairs.where(fits).withColumn("_s", beacon_score(min_events)).where(F.col("_s") >= SUSPICIOUS).withColumn("pair", F.concat_ws(">", "src", "dst"))
+    scored = pairs.where(fits).withColumn("_s", beacon_score(min_events)).where(F.col("_s") >= SUSPICIOUS).withColumn("pair", F.concat_ws("->", "src", "dst"))
     subtype = F.when(F.col("_s") >= ATTACK, "LIKELY_BEACON").otherwise("SUSPICIOUS")
-    return _result(scored, "C2", "pair", F.col("_s"), subtype, F.lit(0.0), ["events", "mean_gap", "cv", "rate"])
+    facts = [F.col("events"), F.col("mean_gap").alias("interval_mean"), F.col("cv").alias("interval_cv"), F.col("rate")]
+    return _result(scored, "C2", "pair", F.col("_s"), subtype, _bucket(pairs), facts)
 
 
 def dga_score(qlen_hi: float = 45) -> Column:
@@ -57,17 +63,18 @@ def tunnel_score(tunnel_qlen: float = 60, maxlabel_hi: float = 25) -> Column:
 
 
 def dns_names(domains: DataFrame, min_queries: int = 5) -> DataFrame:
-    """Generated domains and tunnels among ``names_by_domain`` rows."""
+    """Generated domains and tunnels among ``names_by_domain`` rows; the entity is the first source that asked."""
     enough = domains.where(F.col("queries") >= min_queries)
-    facts = ["queries", "unique_names", "mean_entropy", "mean_length", "max_label", "txt_ratio"]
-    dga = _result(enough, "DGA", "registrable", dga_score(), F.lit("DGA_DOMAIN"), F.lit(0.0), facts)
-    tunnel = _result(enough, "DGA", "registrable", tunnel_score(), F.lit("DNS_TUNNEL"), F.lit(0.0), facts)
+    enough = enough.withColumn("first_src", F.col("first_src").cast("string"))
+    facts = ["registrable", "queries", "unique_names", "mean_entropy", "mean_length", "max_label", "txt_ratio"]
+    dga = _result(enough, "DGA", "first_src", dga_score(), F.lit("DGA_DOMAIN"), _bucket(domains), facts)
+    tunnel = _result(enough, "DGA", "first_src", tunnel_score(), F.lit("DNS_TUNNEL"), _bucket(domains), facts)
     return dga.unionByName(tunnel).where("active")
 
 
 def handshake_repetition(sources: DataFrame, min_sessions: int = 3) -> DataFrame:
     score = F.when((F.col("available") > 0) & (F.col("unique_fingerprints") == 1) & (F.col("sessions") >= 2 * min_sessions), 0.6).otherwise(0.0)
-    return _result(sources.where(F.col("sessions") >= min_sessions), "ENCRYPTED_MALWARE", "src", score, F.lit("TLS_CLIENT_REP"), F.lit(0.0), ["sessions", "unique_fingerprints", "dst_ports"])
+    return _result(sources.where(F.col("sessions") >= min_sessions), "ENCRYPTED_MALWARE", "src", score, F.lit("TLS_CLIENT_REP"), _bucket(sources), ["sessions", "unique_fingerprints", "dst_ports"])
 
 
 def dense(fanout: Column, flows: Column, invert: bool = False) -> Column:
@@ -97,7 +104,7 @@ def exfil(hosts: DataFrame, min_bytes: int = 5_000_000, out_ratio: float = 8.0,
     ratio = F.col("bytes_out") / F.greatest(F.col("bytes_in"), F.lit(1))
     fits = (F.col("bytes_out") >= min_bytes) & (F.col("ratio") >= out_ratio) & (F.col("destinations") >= min_dst)
     score = F.least(F.lit(1.0), 0.5 + 0.5 * F.least(F.col("ratio") / (4 * out_ratio), F.lit(1.0)))
-    return _result(hosts.withColumn("ratio", ratio).where(fits), "EXFIL", "host", score, F.lit("OUTBOUND_ASYMMETRY"), F.col("bucket"), ["bytes_out", "bytes_in", "destinations", "out_flows"])
+    return _result(hosts.withColumn("ratio", ratio).where(fits), "EXFIL", "host", score, F.lit("OUTBOUND_ASYMMETRY"), F.col("bucket"), ["bytes_out", "bytes_in", F.col("ratio").alias("outbound_ratio"), "destinations", "out_flows"])
 
 
 def ddos_subtype() -> Column:
@@ -131,17 +138,18 @@ def host_state(risk: Column, high: float = 0.8, suspect: float = 0.5) -> Column:
     return F.when(risk >= high, "high").when(risk >= suspect, "susp").otherwise("norm")
 
 
-def fuse(results: DataFrame, hosts_flagged: Column | None = None, required: int = 2, bonus: float = 0.05, host_bonus: float = 0.02) -> DataFrame:
+def fuse(results: DataFrame, hosts_flagged: Column | str | None = None, required: int = 2, bonus: float = 0.05, host_bonus: float = 0.02, before: DataFrame | None = None) -> DataFrame:
     """One row an entity and bucket: the highest active score leads, the others follow.
 
     The persistence of a leading class is the number of buckets so far in which it led the entity; silent
-    buckets do not end it.
+    buckets do not end it. ``before`` (``threat_class, entity, repeats``) counts those of earlier runs.
+    ``hosts_flagged``: a number, or "bucket" for the entities' different hosts in the bucket.
     """
     active = results.where("active")
-    if hosts_flagged is None:
-        hosts_flagged = F.lit(1)
+    if "evidence" not in active.columns:
+        active = active.withColumn("evidence", F.lit(None).cast("string"))
     rank = Window.partitionBy("entity", "bucket").orderBy(F.desc("score"), "threat_class", "subtype")
-    ranked = active.withColumn("rn", F.row_number().over(rank)).withColumn("hosts", hosts_flagged)
+    ranked = active.withColumn("rn", F.row_number().over(rank))
     other = F.when(F.col("rn") > 1, F.struct("rn", "threat_class", F.round("score", 4).alias("score")))
     fused = ranked.groupBy("entity", "bucket").agg(
         F.max(F.when(F.col("rn") == 1, F.col("threat_class"))).alias("threat_class"),
@@ -149,32 +157,78 @@ def fuse(results: DataFrame, hosts_flagged: Column | None = None, required: int
         F.max(F.when(F.col("rn") == 1, F.col("score"))).alias("score"),
         F.max("confidence").alias("confidence"),
         F.transform(F.array_sort(F.collect_list(other)), lambda x: F.struct(x["threat_class"].alias("threat_class"), x["score"].alias("score"))).alias("secondary"),
-        F.max("hosts").alias("hosts_flagged"),
+        F.array_sort(F.collect_list(F.struct("rn", "threat_class", F.coalesce("evidence", F.lit("{}")).alias("evidence")))).alias("_facts"),
     )
+    if isinstance(hosts_flagged, str):
+        host = F.split_part("entity", F.lit("->"), F.lit(1))
+        hosts = fused.select("bucket", host.alias("h")).distinct().groupBy("bucket").agg(F.count("*").alias("hosts_flagged"))
+        fused = fused.join(hosts, "bucket")
+    else:
+        fused = fused.withColumn("hosts_flagged", F.lit(1) if hosts_flagged is None else hosts_flagged)
     so_far = Window.partitionBy("threat_class", "entity").orderBy("bucket")
     fused = fused.withColumn("repeats", F.row_number().over(so_far))
+    if before is not None:
+        old = before.select(F.col("threat_class").alias("_class"), F.col("entity").alias("_entity"), F.col("repeats").alias("_old"))
+        fused = fused.join(old, (F.col("threat_class") == F.col("_class")) & F.col("entity").eqNullSafe(F.col("_entity")), "left")
+        fused = fused.withColumn("repeats", F.col("repeats") + F.coalesce("_old", F.lit(0))).drop("_class", "_entity", "_old")
     repeat = F.when(F.col("repeats") >= required, bonus * (F.col("repeats") - required + 1)).otherwise(0.0)
     many = F.when(F.col("hosts_flagged") > 1, host_bonus * (F.col("hosts_flagged") - 1)).otherwise(0.0)
-    return fused.withColumn("risk", clamp01(F.col("score") + repeat + many))
+    # Of a class that has several results the last one, of the least score, is the evidence.
+    facts = F.filter("_facts", lambda x: ~F.exists("_facts", lambda y: (y["threat_class"] == x["threat_class"]) & (y["rn"] > x["rn"])))
+    own = F.map_from_entries(F.transform(facts, lambda x: F.struct(x["threat_class"], x["evidence"])))
+    how = F.to_json(F.struct(F.lit("max score + persistence + hosts").alias("formula"), F.col("repeats").alias("persistence_windows"), "hosts_flagged", F.lit(bonus).alias("persistence_bonus"), F.lit(host_bonus).alias("cross_host_bonus")))
+    fused = fused.withColumn("risk", clamp01(F.col("score") + repeat + many))
+    return fused.withColumn("evidence", F.map_concat(own, F.create_map(F.lit("_fusion"), how))).drop("_facts")
+
 
+#: The fields of an alert in their order.
+ALERT = [
+    "event_id", "timestamp", "flow_id", "source_ip", "destination_ip", "source_port", "destination_port", "protocol", "threat_class", "subtype", "prediction",
+    "confidence", "risk", "stage", "technique", "observation_window_sec", "evidence", "model", "latency_ms", "state", "secondary",
+]
 
-def to_alerts(fused: DataFrame, width_s: float, mode: str = "REPLAY") -> DataFrame:
-    """Alert events of fused rows; ids are digests of what identifies them."""
+
+def to_alerts(fused: DataFrame, width_s: float, mode: str = "REPLAY", flows: DataFrame | None = None, model: tuple[str, float] = ("1.0", 0.5)) -> DataFrame:
+    """Alert events of fused rows (``ALERT`` and ``bucket``); ids are digests of what identifies them.
+
+    ``flows`` (``src, dst, src_port, dst_port, proto, flow_no, end_us, bucket``): an alert names the entity's latest
+    flow in its bucket; an entity without one names itself. The latency is the time since the bucket's end,
+    which is no more than the run's own on a live stream.
+    """
+    end = F.col("bucket") + width_s
+    if flows is not None:
+        last = F.max_by(F.struct("src", "dst", "src_port", "dst_port", F.col("proto").cast("string").alias("proto"), F.col("flow_no").cast("string").alias("flow_no")), F.struct("end_us", "flow_no"))
+        latest = flows.groupBy(F.col("src").alias("_src"), F.col("bucket").alias("_at")).agg(last.alias("_flow"))
+        fused = fused.join(latest, (F.col("entity") == F.col("_src")) & (F.col("bucket") == F.col("_at")), "left")
+    else:
+        fused = fused.withColumn("_flow", F.lit(None).cast("struct<src:string,dst:string,src_port:int,dst_port:int,proto:string,flow_no:string>"))
+    f, pair = F.col("_flow"), F.split("entity", "->")
     key = F.concat_ws("|", "threat_class", "entity", F.col("bucket").cast("string"))
+    names = {"6": "TCP", "17": "UDP", "1": "ICMP"}
+    protocol = F.coalesce(F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[f["proto"]], f["proto"], F.lit("TCP"))
+    latency = F.greatest((F.unix_micros(F.current_timestamp()) / 1e6 - end) * 1000, F.lit(0.0)) if mode == "LIVE" else F.lit(0.0)
     return fused.select(
         F.substring(F.md5(key), 1, 16).alias("event_id"),
-        F.date_format(F.timestamp_seconds(F.col("bucket") + width_s), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("timestamp"),
-        F.col("entity").alias("source_ip"),
+        F.date_format(F.timestamp_seconds(end), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("timestamp"),
+        F.coalesce(f["flow_no"], "entity").alias("flow_id"),
+        F.coalesce(f["src"], pair[0]).alias("source_ip"),
+        F.coalesce(f["dst"], F.get(pair, F.lit(1)), F.lit("")).alias("destination_ip"),
+        F.coalesce(f["src_port"], F.lit(0)).cast("int").alias("source_port"),
+        F.coalesce(f["dst_port"], F.lit(0)).cast("int").alias("destination_port"),
+        protocol.alias("protocol"),
         "threat_class",
-        F.coalesce("subtype", "threat_class").alias("technique"),
-        F.col("threat_class").alias("stage"),
         "subtype",
         prediction(F.col("risk")).alias("prediction"),
-        F.round("confidence", 4).alias("confidence"),
-        F.round("risk", 4).alias("risk"),
-        "secondary",
+        F.round(clamp01(F.col("confidence")), 4).alias("confidence"),
+        F.round(F.col("risk"), 4).alias("risk"),
+        F.col("threat_class").alias("stage"),
+        F.coalesce("subtype", "threat_class").alias("technique"),
         F.lit(width_s).alias("observation_window_sec"),
+        "evidence",
+        F.struct(F.concat(F.lit("rule-"), F.lower("threat_class")).alias("name"), F.lit(model[0]).alias("version"), F.lit(model[1]).alias("threshold")).alias("model"),
+        F.round(latency, 3).alias("latency_ms"),
         F.lit(mode).alias("state"),
+        "secondary",
         "bucket",
     )
 

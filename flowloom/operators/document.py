@@ -5,10 +5,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.operators.detectors import TECHNIQUES, event_severity, host_state, severity
+from flowloom.operators.ranks import with_rank
 
 
 def number(x: Column, lo: float | None = None, hi: float | None = None) -> Column:
@@ -44,9 +45,7 @@ def incident_rollup(alerts: DataFrame, keep: int = 20) -> DataFrame:
     out = alerts.groupBy("threat_class", "subtype", "src").agg(
         F.min("seq").alias("first_seq"), F.min_by("ts", "seq").alias("first_ts"), F.max_by("ts", "seq").alias("last_ts"), F.max("risk").alias("peak"), F.count("*").alias("alerts"), F.min_by("dst", "seq").alias("dst")
     )
-    # The number is a rank over all incidents: they are ranged by first_seq, partition sizes give the offsets.
-    number_ = F.row_number().over(Window.orderBy("first_seq"))
-    out = out.select("first_seq", "threat_class", "subtype", "src", "first_ts", "last_ts", "peak", "alerts", "dst").withColumn("no", number_)
+    out = with_rank(out.select("first_seq", "threat_class", "subtype", "src", "first_ts", "last_ts", "peak", "alerts", "dst"), ["first_seq"], "no")
     out = out.withColumn("inc_id", F.format_string("INC-%04d", "no")).orderBy(F.desc("first_seq")).limit(keep)
     tid = F.create_map(*[x for k, v in TECHNIQUES.items() for x in (F.lit(k), F.lit(v))])
     return out.select("inc_id", severity(F.col("peak")).alias("sev"), F.coalesce(tid[F.col("threat_class")], F.lit("T1498")).alias("tid"), F.coalesce("subtype", "threat_class").alias("tech"), F.coalesce("dst", "src").alias("target"), F.col("src").alias("ip"), F.round("peak", 4).alias("peak"), duration_text(F.col("last_ts") - F.col("first_ts")).alias("dur"), "alerts")
@@ -67,14 +66,18 @@ def overview(alerts: DataFrame) -> DataFrame:
     return alerts.agg(F.coalesce(F.max("risk"), F.lit(0.0)).alias("max_risk"), F.array_join(F.array_sort(F.collect_set("threat_class")), ",").alias("classes"), F.count("*").alias("alerts"))
 
 
-def document(alerts: DataFrame, mode: str = "REPLAY", source: str = "spark") -> DataFrame:
-    """The whole document as one JSON row; every section is bounded by its ``keep``. Null fields are left out."""
+def document(alerts: DataFrame, mode: str = "REPLAY", source: str = "spark", sidecar: DataFrame | None = None) -> DataFrame:
+    """The whole document as one JSON row; every section is bounded by its ``keep``. Null fields are left out.
+
+    ``sidecar``: statuses that analysts set, which incidents keep.
+    """
 
     def section(df: DataFrame, name: str, order: str) -> DataFrame:
         rest = [c for c in df.columns if c != order]
         return df.agg(F.array_sort(F.collect_list(F.struct(order, *rest))).alias(name))
 
-    parts = [section(risk_buckets(alerts), "windows", "bucket"), section(incident_rollup(alerts), "incidents", "inc_id"), section(latest_events(alerts), "events", "seq")]
+    incidents = incident_rollup(alerts) if sidecar is None else with_analyst_status(incident_rollup(alerts), sidecar)
+    parts = [section(risk_buckets(alerts), "windows", "bucket"), section(incidents, "incidents", "inc_id"), section(latest_events(alerts), "events", "seq")]
     hosts = section(host_rollup(alerts).orderBy(F.desc("risk"), "host").limit(200), "hosts", "host")
     out = overview(alerts).select(F.struct("max_risk", "classes", "alerts").alias("overview"))
     for p in (*parts, hosts):
@@ -83,15 +86,15 @@ def document(alerts: DataFrame, mode: str = "REPLAY", source: str = "spark") ->
 
 
 def write_document(doc: DataFrame, path: str) -> None:
-    """Writes the document beside ``path`` and renames it over, so that readers see a whole one."""
+    """Writes the document beside ``path`` and renames it over in one step, so that readers always find a whole one."""
     spark = doc.sparkSession
     text = doc.first()["document"]
-    hadoop = spark._jvm.org.apache.hadoop.fs
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
     target, part = hadoop.Path(path), hadoop.Path(path + ".part")
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs = target.getFileSystem(conf)
     out = fs.create(part, True)
     out.write(bytearray(text.encode("utf-8")))
     out.close()
-    fs.delete(target, False)
-    if not fs.rename(part, target):
-        raise OSError(f"{path} could not be replaced")
+    options = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    hadoop.FileContext.getFileContext(fs.makeQualified(target).toUri(), conf).rename(fs.makeQualified(part), fs.makeQualified(target), options)

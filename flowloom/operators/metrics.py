@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowloom.operators.ranks import with_running
+
 
 def ratio(num: Column, den: Column) -> Column:
     """0 where nothing can be divided."""
@@ -32,13 +34,11 @@ def with_rates(counts: DataFrame) -> DataFrame:
 
 
 def curve(scored: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Per distinct score, descending: positives and negatives there and so far.
-
-    Without keys the running sum is over one ordered list of distinct scores; round scores first if
-    they are continuous.
-    """
-    keys = keys or []
-    at = scored.groupBy(*keys, "p").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") != 1).alias("neg"))
+    """Per distinct score, descending: positives and negatives there and so far."""
+    at = scored.groupBy(*(keys or []), "p").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") != 1).alias("neg"))
+    if not keys:
+        total = at.agg(F.coalesce(F.sum("pos"), F.lit(0)).alias("all_pos"), F.coalesce(F.sum("neg"), F.lit(0)).alias("all_neg"))
+        return with_running(at, "p", {"tp": "pos", "fp": "neg"}).crossJoin(F.broadcast(total))  # one row
     w = Window.partitionBy(*keys).orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
     every = Window.partitionBy(*keys)
     out = at.withColumn("tp", F.sum("pos").over(w)).withColumn("fp", F.sum("neg").over(w))

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from flowloom.functions.packets import KEY, has_flag, packets, with_flow_key
+from flowloom.functions.packets import KEY, KEYED_SQL, PACKETS_SQL, has_flag, packets, with_flow_key
 from flowloom.operators import audit
-from flowloom.operators.flows import EVENT_LIMITS, FEATURES, HOUR, drop_mirrors, ended_by, flow_features, to_float32, with_gap_sessions, with_instances, with_intervals
+from flowloom.operators.flows import EVENT_LIMITS, FEATURES, HOUR, drop_mirrors, ended_by, extract, flow_features, to_float32, window_rows, with_gap_sessions, with_instances, with_intervals
 from flowloom.operators.folds import early_step, ordered_fold, reanchor_step
-from flowloom.plans.flow_sql import BASE, FEATURE_COLS, INSTANCES_SQL, INTERVALS_SQL, SESSIONS_SQL, TO_FLOWS, early_sql, reanchor_sql
+from flowloom.plans.flow_sql import BASE, FEATURE_COLS, FLOWS_SQL, INSTANCES_SQL, INTERVALS_SQL, SESSIONS_SQL, TO_FLOWS, early_sql, reanchor_sql
 from flowloom.plans.registry import query
 
 DAY = 24 * HOUR
+FLOW_ID = "CAST(proto AS VARCHAR) || '|' || src_ip || '|' || CAST(src_port AS VARCHAR) || '|' || dst_ip || '|' || CAST(dst_port AS VARCHAR) AS flow_id"
 
 
 def session_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +59,30 @@ def flow_ended_by(spark, sf_dir):
     return ended_by(flows, pk, EVENT_LIMITS).select(*KEY, "instance", "ended_by")
 
 
+#: Records of the event table: some are no packets, but sweeps and captures' ends count them.
+STATUS = "CASE WHEN pkt_no % 11 = 3 THEN 'malformed' ELSE 'parsed' END"
+
+
+@query(f"""WITH RECURSIVE {PACKETS_SQL.replace('packets AS', 'allpackets AS', 1)}, packets AS (SELECT * FROM allpackets WHERE pkt_no % 11 <> 3), {KEYED_SQL}, {INSTANCES_SQL.replace('FROM packets) s', 'FROM allpackets) s')},
+  sessions AS (SELECT s.*, w.instance FROM swept s JOIN walk w USING (capture_file, lo, hi, proto, rn)), {INTERVALS_SQL}, {FLOWS_SQL}, e AS (SELECT capture_file, max_by(ts_us, pkt_no) AS last_us FROM allpackets GROUP BY capture_file)
+SELECT capture_file, {FLOW_ID}, CASE WHEN capture_file = 'cap0' THEN 'benign' ELSE 'udp_flood' END AS family, CASE WHEN capture_file = 'cap0' THEN 'benign' ELSE 'attack' END AS binary_label, src_ip, dst_ip, src_port, dst_port,
+  start_us / 1e6 AS start_ts, end_us / 1e6 AS end_ts, n_packets, CASE WHEN n_packets >= {EVENT_LIMITS.packet_cap} THEN 'packet_cap' WHEN end_us - start_us >= {EVENT_LIMITS.activity_cap_us} THEN 'activity_cap'
+  WHEN instance = max(instance) OVER (PARTITION BY capture_file, lo, hi, proto) AND last_us - end_us < {EVENT_LIMITS.timeout_us} AND end_us - start_us < {EVENT_LIMITS.timeout_us} THEN 'capture_end' ELSE 'timeout' END AS ended_by, {FEATURE_COLS}
+FROM flows JOIN e USING (capture_file)""")
+def flow_table_job(spark, sf_dir):
+    """From records of several captures to the stored flow table: metadata and 66 features."""
+    records = packets(spark, sf_dir).withColumn("status", F.expr(STATUS)).withColumn("ip_total", F.col("incl_len")).withColumn("ident", F.col("pkt_no"))
+    labels = spark.createDataFrame([("cap0", "benign", "benign"), ("cap1", "udp_flood", "attack"), ("cap2", "udp_flood", "attack")], "capture_file string, family string, binary_label string")
+    return extract(records, labels, EVENT_LIMITS)
+
+
+@query(f"""WITH {TO_FLOWS}, f AS (SELECT capture_file, {FLOW_ID} FROM flows), g AS (SELECT capture_file, flow_id, count(*) AS n FROM f GROUP BY ALL)
+SELECT capture_file, CAST(sum(n) AS BIGINT) AS flows, count(*) AS flow_ids, CAST(sum(n - 1) AS BIGINT) AS duplicates FROM g GROUP BY capture_file""")
+def capture_duplicate_ids(spark, sf_dir):
+    port = [F.col(c).cast("string") for c in ("src_port", "dst_port")]
+    return audit.capture_duplicates(session_flows(spark, sf_dir).withColumn("flow_id", F.concat_ws("|", F.col("proto").cast("string"), "src_ip", port[0], "dst_ip", port[1])))
+
+
 @query(f"WITH RECURSIVE {BASE}, {reanchor_sql(DAY)} SELECT capture_file, lo, hi, proto, win_no, count(*) AS n_packets, min(ts_us) AS start_us, max(ts_us) AS end_us FROM walk GROUP BY ALL")
 def causal_window_reanchor(spark, sf_dir):
     pk = ordered_fold(with_flow_key(packets(spark, sf_dir)), KEY, ["pkt_no"], ["ts_us"], "win_no", reanchor_step(DAY))
@@ -72,11 +97,15 @@ def early_windows(spark: SparkSession, sf_dir: str, days: int) -> DataFrame:
 
 
 def _early(days: int) -> None:
-    sql = f"WITH RECURSIVE {BASE}, {early_sql(days * DAY)} SELECT capture_file, lo, hi, proto, win_no, count(*) AS n_packets, min(ts_us) AS start_us, max(ts_us) AS end_us FROM walk WHERE win_no > 0 GROUP BY ALL"
+    """Window rows with their features, when they froze, and nothing of what came later."""
+    sql = f"""WITH RECURSIVE {BASE}, {early_sql(days * DAY)}, sessions AS (SELECT r.*, w.win_no AS instance FROM ranked r JOIN walk w USING (capture_file, lo, hi, proto, rn) WHERE w.win_no > 0), {INTERVALS_SQL}, {FLOWS_SQL},
+  frozen AS (SELECT capture_file, lo, hi, proto, number AS instance, min_by(ts_us, pkt_no) / 1e6 AS frozen_at FROM walk WHERE win_no = 0 GROUP BY ALL)
+SELECT capture_file, {FLOW_ID}, instance, n_packets, start_us / 1e6 AS start_ts, end_us / 1e6 AS end_ts, frozen_at, 'window_{days * 86400:g}s' AS ended_by, {FEATURE_COLS} FROM flows LEFT JOIN frozen USING (capture_file, lo, hi, proto, instance)"""
 
     @query(sql, name=f"early_window_{days}")
     def run(spark, sf_dir):
-        return early_windows(spark, sf_dir, days).groupBy(*KEY, "win_no").agg(F.count("*").alias("n_packets"), F.min("ts_us").alias("start_us"), F.max("ts_us").alias("end_us"))
+        out = window_rows(packets(spark, sf_dir), days * DAY, EVENT_LIMITS)
+        return out.select("capture_file", "flow_id", "instance", "n_packets", "start_ts", "end_ts", F.when(~F.isnan("_frozen_at"), F.col("_frozen_at")).alias("frozen_at"), "ended_by", *FEATURES)
 
 
 for _days in (1, 3, 5):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom.functions.packets import is_group_address, packets
@@ -10,6 +10,7 @@ from flowloom.operators import aggregates as A
 from flowloom.operators import detectors as D
 from flowloom.operators import document as doc
 from flowloom.operators.folds import cooldown_step, ordered_fold
+from flowloom.operators.ranks import with_rank
 from flowloom.plans.flow_queries import session_flows
 from flowloom.plans.flow_sql import BASE, TO_CLOSED
 from flowloom.plans.registry import query, table
@@ -74,7 +75,7 @@ def c2_intervals(spark, sf_dir):
     return out.select("src", "dst", "events", "gaps", F.round("mean_gap", 3).alias("mean_gap"), F.round("cv", 6).alias("cv"), F.round("span", 3).alias("span"), F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH {TO_CLOSED}, {BEACON_SQL.replace('0.9', '0.35').replace('1.5', '0.65')} SELECT 'C2' AS threat_class, src || '>' || dst AS entity, round(score, 6) AS score, CASE WHEN score >= 0.8 THEN 'LIKELY_BEACON' ELSE 'SUSPICIOUS' END AS subtype
+@query(f"""WITH {TO_CLOSED}, {BEACON_SQL.replace('0.9', '0.35').replace('1.5', '0.65')} SELECT 'C2' AS threat_class, src || '->' || dst AS entity, round(score, 6) AS score, CASE WHEN score >= 0.8 THEN 'LIKELY_BEACON' ELSE 'SUSPICIOUS' END AS subtype
 FROM s WHERE events >= 6 AND gaps >= 5 AND mean_gap >= 1 AND (span <= 0 OR events / span <= 0.5) AND score >= 0.5""")
 def c2_beacon(spark, sf_dir):
     pairs = A.interval_stats(A.pair_series(closed_flows(spark, sf_dir)))
@@ -202,14 +203,21 @@ ALERT_SQL = f"{TO_CLOSED}, {RESULTS_SQL}, {FUSED_SQL}, al AS (SELECT row_number(
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alerts in order of their bucket; the sequence number is a rank over fused rows."""
     f = D.fuse(detector_results(spark, sf_dir))
-    seq = F.row_number().over(Window.orderBy("bucket", "entity"))
-    return f.select(seq.cast("long").alias("seq"), (F.col("bucket") + DAY_S).alias("ts"), "risk", "threat_class", "subtype", F.col("entity").alias("src"), F.lit("192.168.1.1").alias("dst"), F.col("threat_class").alias("stage"), F.col("subtype").alias("technique"), (F.col("score") * 100).alias("pps"))
+    return with_rank(f, ["bucket", "entity"], "seq").select("seq", (F.col("bucket") + DAY_S).alias("ts"), "risk", "threat_class", "subtype", F.col("entity").alias("src"), F.lit("192.168.1.1").alias("dst"), F.col("threat_class").alias("stage"), F.col("subtype").alias("technique"), (F.col("score") * 100).alias("pps"))
 
 
-@query(f"WITH {ALERT_SQL} SELECT substr(md5(threat_class || '|' || src || '|' || CAST(CAST(ts - 86400 AS DOUBLE) AS VARCHAR)), 1, 16) IS NOT NULL AS has_id, threat_class, src AS source_ip, strftime(to_timestamp(ts) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S.%gZ') AS \"timestamp\", CASE WHEN risk >= 0.8 THEN 'ATTACK' WHEN risk >= 0.5 THEN 'SUSPICIOUS' ELSE 'BENIGN' END AS prediction, round(risk, 4) AS risk FROM al")
+LATEST_SQL = "latest AS (SELECT src, bucket, max_by(dst, (end_us, flow_no)) AS dst, max_by(src_port, (end_us, flow_no)) AS src_port, max_by(dst_port, (end_us, flow_no)) AS dst_port, max_by(proto, (end_us, flow_no)) AS proto, max_by(flow_no, (end_us, flow_no)) AS flow_no FROM closed GROUP BY src, bucket)"
+
+
+@query(f"""WITH {TO_CLOSED}, {RESULTS_SQL}, {FUSED_SQL}, {LATEST_SQL} SELECT 16 AS id_length, strftime(to_timestamp(f.bucket + 86400) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S.%gZ') AS "timestamp", coalesce(l.flow_no, entity) AS flow_id, entity AS source_ip, coalesce(l.dst, '') AS destination_ip,
+  CAST(coalesce(l.src_port, 0) AS INTEGER) AS source_port, CAST(coalesce(l.dst_port, 0) AS INTEGER) AS destination_port, CASE l.proto WHEN 6 THEN 'TCP' WHEN 17 THEN 'UDP' ELSE 'TCP' END AS protocol, threat_class, subtype, CASE WHEN risk >= 0.8 THEN 'ATTACK' WHEN risk >= 0.5 THEN 'SUSPICIOUS' ELSE 'BENIGN' END AS prediction,
+  round(confidence, 4) AS confidence, round(risk, 4) AS risk, threat_class AS stage, subtype AS technique, 86400.0::DOUBLE AS observation_window_sec, repeats AS persistence_windows, 'rule-' || lower(threat_class) AS model_name, 0.0::DOUBLE AS latency_ms, 'REPLAY' AS state, n_secondary
+FROM fused f LEFT JOIN latest l ON l.src = entity AND l.bucket = f.bucket""")
 def alert_assembly(spark, sf_dir):
-    a = D.to_alerts(D.fuse(detector_results(spark, sf_dir)), DAY_S)
-    return a.select((F.length("event_id") == 16).alias("has_id"), "threat_class", "source_ip", "timestamp", "prediction", "risk")
+    """All fields of alerts, with the latest flow of the entity in the bucket; nested ones by a part."""
+    a = D.to_alerts(D.fuse(detector_results(spark, sf_dir)), DAY_S, flows=closed_flows(spark, sf_dir))
+    flat = {"event_id": F.length("event_id").alias("id_length"), "evidence": F.get_json_object(F.col("evidence")["_fusion"], "$.persistence_windows").cast("long").alias("persistence_windows"), "model": F.col("model.name").alias("model_name"), "secondary": F.size("secondary").cast("long").alias("n_secondary")}
+    return a.select(*[flat.get(c, F.col(c)) for c in D.ALERT])
 
 
 @query(f"WITH {ALERT_SQL} SELECT floor(ts / 864000) * 864000 AS bucket, round(max(risk), 6) AS risk, count(*) AS alerts, round(max(pps), 6) AS pps, max_by(stage, seq) AS stage, max_by(technique, seq) AS technique, max_by(dst, seq) AS target FROM al GROUP BY 1 ORDER BY 1 DESC LIMIT 180")

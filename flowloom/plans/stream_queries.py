@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from flowloom.operators import detectors as D
 from flowloom.operators.flows import EVENT_LIMITS, HOUR
-from flowloom.plans.flow_sql import early_sql
+from flowloom.plans.flow_sql import TO_CLOSED, early_sql
 from flowloom.plans.registry import query
+from flowloom.plans.score_queries import DAY_S, RESULTS_SQL, closed_flows
 from flowloom.streaming.processors import causal_windows, cooldowns, guarded_windows, pair_series_stream, sessions, tumbling
-from flowloom.streaming.runs import event_stream, run_available
+from flowloom.streaming.runs import event_stream, run_available, work_folder
+from flowloom.streaming.service import Service, Timing, inputs, serve
 
 DAY_US = 24 * HOUR
 
@@ -56,3 +59,25 @@ def pair_state_stream(spark, sf_dir):
 def guarded_window_stream(spark, sf_dir):
     lim = EVENT_LIMITS
     return run_available(guarded_windows(event_stream(spark, sf_dir), "user_id", DAY_US, lim.timeout_us, lim.activity_cap_us, lim.packet_cap))
+
+
+@query(f"""WITH {TO_CLOSED}, {RESULTS_SQL}, ranked AS (SELECT *, row_number() OVER (PARTITION BY entity, bucket ORDER BY score DESC, threat_class, subtype) AS rn FROM act),
+led AS (SELECT entity, bucket, max(CASE WHEN rn = 1 THEN threat_class END) AS threat_class, max(score) AS score, count(*) - 1 AS n_secondary FROM ranked GROUP BY entity, bucket), hosts AS (SELECT bucket, count(DISTINCT entity) AS h FROM led GROUP BY bucket),
+fused AS (SELECT *, row_number() OVER (PARTITION BY threat_class, entity ORDER BY bucket) AS repeats FROM led JOIN hosts USING (bucket))
+SELECT bucket, entity AS source_ip, threat_class, repeats, n_secondary, round(least(1.0, score + CASE WHEN repeats >= 2 THEN 0.05 * (repeats - 1) ELSE 0 END + 0.02 * (h - 1)), 4) AS risk FROM fused""")
+def service_alerts(spark, sf_dir):
+    """The service's alerts over daily buckets of closed flows, fed as a stream of files; two detectors of simple scores."""
+    folder = work_folder(spark)
+    inputs(closed_flows(spark, sf_dir)).repartition(4).write.parquet(f"{folder}/in")
+
+    def simple(kind, entity, score, subtype):
+        return lambda df: df.select(F.lit(kind).alias("threat_class"), F.col(entity).alias("entity"), "bucket", score.alias("score"), score.alias("confidence"), F.lit(subtype).alias("subtype"), F.lit("{}").alias("evidence"), (score >= D.SUSPICIOUS).alias("active"))
+
+    none = {k: lambda df: df.select(*[F.lit(None).cast(t).alias(c) for c, t in zip(D.RESULT, ("string", "string", "double", "double", "double", "string", "string", "boolean"), strict=True)]) for k in ("c2_beacon", "ddos_model")}
+    own = {"recon": simple("RECON", "src", F.least(F.lit(1.0), F.col("flows") / 3.0), "SERVICE_DISCOVERY"), "exfil": simple("EXFIL", "host", F.least(F.lit(1.0), F.col("bytes_out") / 400.0), "OUTBOUND_ASYMMETRY")}
+    # Files come in any order, so the watermark waits for all of them.
+    service = Service(folder, Timing(DAY_S, 1e9, 0.0, 1e9, 0.0, 0.0), "REPLAY", own | none)
+    rows = spark.readStream.schema(spark.read.parquet(f"{folder}/in").schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    serve(rows, service).awaitTermination()
+    service.flush(spark, rows.schema)
+    return service.alerts(spark).select("bucket", "source_ip", "threat_class", "repeats", F.size("secondary").cast("long").alias("n_secondary"), "risk")

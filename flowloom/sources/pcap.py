@@ -139,19 +139,23 @@ class _File(InputPartition):
         self.path = path
 
 
+def _captures(path: str) -> list[str]:
+    """Captures of a folder and those below it, or what a pattern names."""
+    path = path.removeprefix("file://")
+    if os.path.isdir(path):
+        return sorted(os.path.join(d, n) for d, _, names in os.walk(path) for n in names if n.endswith((".pcap", ".cap")))
+    return sorted(glob.glob(path))
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.options = options
 
     def partitions(self) -> list[InputPartition]:
-        path = self.options["path"].removeprefix("file://")
-        if os.path.isdir(path):
-            found = [os.path.join(d, n) for d, _, names in os.walk(path) for n in names if n.endswith((".pcap", ".cap"))]
-        else:
-            found = glob.glob(path)
+        found = _captures(self.options["path"])
         if not found:
-            raise FileNotFoundError(path)
-        return [_File(p) for p in sorted(found)]
+            raise FileNotFoundError(self.options["path"])
+        return [_File(p) for p in found]
 
     def read(self, partition: _File) -> Iterator[tuple]:
         with open(partition.path, "rb", buffering=1 << 22) as f:
@@ -159,22 +163,28 @@ class _Reader(DataSourceReader):
 
 
 class _StreamReader(DataSourceStreamReader):
-    """Capture files that are added to a folder, in order of their names; each is read by one task."""
+    """Capture files that are added to a folder or below it; each is read by one task.
+
+    A file is known by when it was last changed and its name, so one that comes late is read whatever it is
+    called. The offset is the latest such pair; a capture is to be moved into the folder when it is complete.
+    """
 
     def __init__(self, options: dict) -> None:
         self.options = options
 
-    def _names(self) -> list[str]:
-        return sorted(glob.glob(os.path.join(self.options["path"].removeprefix("file://"), "*.pcap")))
+    def _known(self) -> list[tuple[int, str]]:
+        return sorted((os.stat(p).st_mtime_ns, p) for p in _captures(self.options["path"]))
 
     def initialOffset(self) -> dict:
-        return {"done": ""}
+        return {"time": 0, "name": ""}
 
     def latestOffset(self, *_) -> dict:
-        return {"done": max(self._names(), default="")}
+        time, name = max(self._known(), default=(0, ""))
+        return {"time": time, "name": name}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        return [_File(n) for n in self._names() if start["done"] < n <= end["done"]]
+        low, high = ((x["time"], x["name"]) for x in (start, end))
+        return [_File(p) for t, p in self._known() if low < (t, p) <= high]
 
     def read(self, partition: _File) -> Iterator[tuple]:
         with open(partition.path, "rb", buffering=1 << 22) as f:
@@ -234,10 +244,44 @@ def capture_stats(packets: DataFrame) -> DataFrame:
     kinds = ("parsed", "non_ip", "malformed", "frag")
     return packets.groupBy("capture_file").agg(
         F.count("*").alias("packets"), F.sum("orig_len").alias("bytes_wire"), F.min_by("ts_us", "pkt_no").alias("first_us"), F.max_by("ts_us", "pkt_no").alias("last_us"),
+        ((F.max_by("ts_us", "pkt_no") - F.min_by("ts_us", "pkt_no")) / 1e6).alias("duration_s"),
         F.count_if(F.col("orig_len") < F.col("incl_len")).alias("n_orig_lt_incl"), F.count_if(F.col("incl_len") == 0).alias("n_bad_incl"), F.sum("vlan_tags").alias("vlan_frames"), *[F.count_if(F.col("status") == k).alias(k) for k in kinds],
     )
 
 
+HEADERS = "path string, byte_order string, units_a_second long, snaplen long, linktype long, records long, cut_tail boolean, error string"
+
+
+def headers(files: DataFrame) -> DataFrame:
+    """Of ``path, content`` rows: what the file header says, whole records, and whether the last one is cut off; or why it can't be read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                raw = memoryview(content.as_buffer())
+                order, units = MAGICS.get(bytes(raw[:4]), (None, None))
+                if order is None or len(raw) < 24:
+                    out.append((path, None, None, None, None, None, None, "pcapng" if bytes(raw[:4]) == NEXT_GENERATION else "no capture file header"))
+                    continue
+                snaplen, link = struct.unpack_from(order + "II", raw, 16)
+                at, n, fault = 24, 0, None
+                while at + 16 <= len(raw):
+                    size = struct.unpack_from(order + "I", raw, at + 8)[0]
+                    if size > LIMIT:
+                        fault = f"a record of {size} bytes is not plausible"
+                        break
+                    if at + 16 + size > len(raw):
+                        break
+                    at, n = at + 16 + size, n + 1
+                out.append((path, "little" if order == "<" else "big", units, snaplen, link, n, at < len(raw), fault))
+            names = [f.split()[0] for f in HEADERS.split(", ")]
+            kinds = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}
+            yield pa.RecordBatch.from_arrays([pa.array(c, kinds[f.split()[1]]) for c, f in zip(zip(*out, strict=True), HEADERS.split(", "), strict=True)], names=names)
+
+    return files.select("path", "content").mapInArrow(run, HEADERS)
+
+
 def family_of(top: Column) -> Column:
     return mapped_or_slug(F.lower(top), FAMILIES)
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.utils import AnalysisException
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -14,14 +13,22 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.option("header", True).schema(schema).csv(path)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def read_if_exists(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The table, or an empty one of its schema where nothing has been written yet; other errors stay errors."""
+    return spark.read.schema(schema).parquet(path) if _exists(spark, path) else spark.createDataFrame([], schema)
+
+
 def append_missing(df: DataFrame, path: str, key: str) -> DataFrame:
     """Appends the rows whose key the table lacks and returns them; run again after a crash, it goes on."""
     spark = df.sparkSession
-    try:
-        done = spark.read.schema(df.schema).parquet(path).select(key)
-        df = df.join(done, key, "left_anti").select(*df.columns)
-    except AnalysisException:  # nothing has been written yet
-        pass
+    if _exists(spark, path):
+        done = spark.read.parquet(path).select(key)
+        df = df.join(done, df[key].eqNullSafe(done[key]), "left_anti").select(*df.columns)
     df.write.mode("append").parquet(path)
     return df
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -19,7 +19,8 @@ from flowloom.operators.folds import cooldown_step, early_step, reanchor_step
 def stateful_fold(stream: DataFrame, key: str, order: str, inputs: list[str], columns: list[str], output: str, step: Callable, state_schema: str, idle_ms: int | None = None) -> DataFrame:
     """``columns`` and ``output`` of every row; rows of a batch are folded in ``order``.
 
-    With ``idle_ms``, the state of a key goes when event time passes its last row by that much.
+    With ``idle_ms``, ``stream`` has a watermark on ``ts``, and the state of a key goes when that passes the
+    key's last row by so much; a later row of the key begins anew.
     """
     types = dict(stream.dtypes)
     schema = ", ".join(f"{c} {types[c]}" for c in columns) + f", {output} long"
@@ -35,36 +36,46 @@ def stateful_fold(stream: DataFrame, key: str, order: str, inputs: list[str], co
             out.append(value)
         state.update(now)
         if idle_ms is not None:
-            state.setTimeoutTimestamp(int(rows["_ms"].max()) + idle_ms)
+            state.setTimeoutTimestamp(max(int(rows["_ms"].max()), state.getCurrentWatermarkMs()) + idle_ms)
         yield rows[columns].assign(**{output: out})
 
     kind = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.EventTimeTimeout
+    if idle_ms is not None:
+        stream = stream.withColumn("_ms", F.unix_millis("ts"))
     return stream.groupBy(key).applyInPandasWithState(run, schema, state_schema, "append", kind)
 
 
-def causal_windows(stream: DataFrame, key: str, width_us: int) -> DataFrame:
-    """Numbers of re-anchoring windows; ``stream`` has ``event_id, ts``."""
-    rows = stream.withColumn("ts_us", F.unix_micros("ts")).select(key, "event_id", "ts_us")
-    return stateful_fold(rows, key, "event_id", ["ts_us"], [key, "event_id"], "win_no", reanchor_step(width_us), "number long, start long")
+def _timed(stream: DataFrame, key: str, value: Column, name: str, delay: str | None) -> DataFrame:
+    rows = stream if delay is None else stream.withWatermark("ts", delay)
+    return rows.select(key, "event_id", "ts", value.alias(name))
 
 
-def guarded_windows(stream: DataFrame, key: str, width_us: int, timeout_us: int, activity_cap_us: int, packet_cap: int) -> DataFrame:
-    """One causal window an instance: a frozen window takes no more rows until a gap or a cap ends it (0)."""
-    rows = stream.withColumn("ts_us", F.unix_micros("ts")).select(key, "event_id", "ts_us")
+def causal_windows(stream: DataFrame, key: str, width_us: int, idle_ms: int | None = None, delay: str | None = None) -> DataFrame:
+    """Numbers of re-anchoring windows; ``stream`` has ``event_id, ts``. With ``idle_ms``, ``delay`` is the watermark's."""
+    rows = _timed(stream, key, F.unix_micros("ts"), "ts_us", delay)
+    return stateful_fold(rows, key, "event_id", ["ts_us"], [key, "event_id"], "win_no", reanchor_step(width_us), "number long, start long", idle_ms)
+
+
+def guarded_windows(stream: DataFrame, key: str, width_us: int, timeout_us: int, activity_cap_us: int, packet_cap: int, idle_ms: int | None = None, delay: str | None = None) -> DataFrame:
+    """One causal window an instance: a frozen window takes no more rows until a gap or a cap ends it (0).
+
+    With ``idle_ms`` of the timeout or more, ending a key's state changes no window, but numbers begin anew.
+    """
+    rows = _timed(stream, key, F.unix_micros("ts"), "ts_us", delay)
     step = early_step(width_us, timeout_us, activity_cap_us, packet_cap)
-    return stateful_fold(rows, key, "event_id", ["ts_us"], [key, "event_id"], "win_no", step, "number long, active boolean, start long, last long, n long")
+    return stateful_fold(rows, key, "event_id", ["ts_us"], [key, "event_id"], "win_no", step, "number long, active boolean, start long, last long, n long", idle_ms)
 
 
-def cooldowns(stream: DataFrame, key: str, wait_s: float) -> DataFrame:
-    """Which alerts are emitted, given the wait after an emission."""
-    rows = stream.withColumn("ts_s", F.unix_micros("ts") / 1e6).select(key, "event_id", "ts_s")
+def cooldowns(stream: DataFrame, key: str, wait_s: float, idle_ms: int | None = None, delay: str | None = None) -> DataFrame:
+    """Which alerts are emitted, given the wait after an emission; state that is idle for the wait decides nothing."""
+    rows = _timed(stream, key, F.unix_micros("ts") / 1e6, "ts_s", delay)
     step = cooldown_step(wait_s)
 
     def one(state: tuple | None, row: tuple) -> tuple:
         last, value = step(state[0] if state else None, row)
         return (last,), value
 
-    return stateful_fold(rows, key, "event_id", ["ts_s"], [key, "event_id"], "emitted", one, "last double")
+    return stateful_fold(rows, key, "event_id", ["ts_s"], [key, "event_id"], "emitted", one, "last double", idle_ms)
 
 
 def tumbling(stream: DataFrame, width: str, delay: str, keys: list[str]) -> DataFrame:
@@ -97,7 +108,7 @@ def pair_series_stream(stream: DataFrame, most: int = 256, ttl_ms: int = 900_000
         held, n = state.get if state.exists else ([], 0)
         held = [*held, *new[: max(0, most - len(held))]]
         state.update((held, n + len(new)))
-        state.setTimeoutTimestamp(new[-1] // 1000 + ttl_ms)
+        state.setTimeoutTimestamp(max(new[-1] // 1000, state.getCurrentWatermarkMs()) + ttl_ms)
         yield pd.DataFrame({"src": [key[0]], "dst": [key[1]], "events": [n + len(new)], "kept": [len(held)], "first_us": [held[0]]})
 
     schema = "src long, dst long, events long, kept long, first_us long"

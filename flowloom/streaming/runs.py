@@ -15,6 +15,8 @@ def work_folder(spark: SparkSession) -> str:
     """A new folder in ``spark.checkpoint.dir``; where that is unset (tests), in a local one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         if app not in _LOCAL:
             import tempfile
@@ -49,5 +51,7 @@ def run_available(stream: DataFrame, mode: str = "append", each: Callable[[DataF
     if mode == "append":
         writer.format("parquet").option("path", out).start().awaitTermination()
     else:
-        writer.foreachBatch(lambda df, k: df.write.mode("append").parquet(out)).start().awaitTermination()
+        # Under its number, so that a batch run again replaces itself.
+        writer.foreachBatch(lambda df, k: df.write.mode("overwrite").parquet(f"{out}/batch={k}")).start().awaitTermination()
+        return spark.read.schema(stream.schema).option("basePath", out).parquet(out).select(*stream.columns)
     return spark.read.schema(stream.schema).parquet(out)

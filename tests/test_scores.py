@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from flowloom.operators import aggregates as A
 from flowloom.operators import audit, document, metrics, splits
 from flowloom.operators import detectors as D
+from flowloom.operators.flows import FEATURES
 
 
 def test_beacons(spark):
     regular, noisy = [int(30e6 * k) for k in range(12)], [0, 3_000_000, 90_000_000, 95_000_000, 400_000_000, 401_000_000, 900_000_000]
     pairs = A.interval_stats(spark.createDataFrame([("a", "b", regular), ("a", "c", noisy), ("a", "d", [0])], "src string, dst string, starts array<long>"))
     (row,) = D.c2_beacon(pairs).collect()
-    assert (row["entity"], row["subtype"], row["score"]) == ("a>b", "LIKELY_BEACON", 1.0)
+    assert (row["entity"], row["subtype"], row["score"]) == ("a->b", "LIKELY_BEACON", 1.0)
 
 
 def test_scans_and_exfiltration(spark):
@@ -96,6 +97,8 @@ def test_audits(spark):
     assert profile["v"][:2] == (1, 1) and not profile["k"][2]
     assert audit.validate_schema(df, {"g": "string", "k": "bigint", "x": "int"}, ("g",)) == ["missing column x", "unexpected column v", "column k is int, not bigint", "identifier g is a feature"]
     assert sorted(r["id"] for r in audit.systematic_sample(spark.range(100), ["id"], 20).collect()) == list(range(0, 100, 5))
+    drawn = audit.seeded_sample(spark.range(100, numPartitions=3), ["id"], 9)
+    assert drawn.count() == 9 and sorted(drawn.collect()) == sorted(audit.seeded_sample(spark.range(100, numPartitions=7), ["id"], 9).collect())
 
 
 ALERTS = "seq long, ts double, risk double, threat_class string, subtype string, src string, dst string, stage string, technique string, pps double"
@@ -133,10 +136,69 @@ def test_models(spark):
     for kind in ("lr", "rf"):
         out = ml.scored(ml.pipeline(kind, ["a", "b"]).fit(rows), rows)
         assert metrics.confusion(out).first()["f1"] > 0.95
-    p = ml.calibrate(out.select("p", "y"), "sigmoid")
-    assert out.select(p.alias("q")).where("q < 0 OR q > 1").count() == 0
-    iso = ml.calibrate(out.select("p", "y"), "isotonic")
-    assert metrics.brier(out.withColumn("p", iso)).first()[0] < 0.05
-    assert len(ml.trials(5)) == 5 and [n for n, _ in ml.staircase()][-1] == "windows"
+    sigmoid = ml.calibrate(out.select("p", "y"), "sigmoid").transform(out)
+    assert sigmoid.where("p_cal < 0 OR p_cal > 1").count() == 0
+    iso = ml.calibrate(out.select("p", "y"), "isotonic").transform(out)
+    assert metrics.brier(iso.withColumn("p", F.col("p_cal"))).first()[0] < 0.05
+    steps = list(ml.staircase())
+    assert len(ml.trials(5)) == 5 and [n for n, _ in steps][-1] == "F_protocol_indicator" and sorted(steps[-1][1]) == sorted(FEATURES)
+    _, fitted, record = ml.train_and_test(rows.drop("weight"), ["a", "b"], ["c0", "c1", "c2"], numTrees=10)
+    assert record["f1"] > 0.95 and record["n"] == 150 and record["flows_a_second"] > 0 and fitted.kind in ("sigmoid", "isotonic")
+    lines = spark.createDataFrame([('{"a": 1, "b": "2.5", "z": 0}',), ('{"a": "x", "b": 1}',), ("nothing",), (None,)], "value string")
+    assert [(r["a"], r["b"], r["error"]) for r in ml.parse_records(lines, ["a", "b"]).collect()] == [(1.0, 2.5, None), (None, 1.0, "missing or not finite: a"), (None, None, "no JSON record"), (None, None, "no JSON record")]
     bad = spark.createDataFrame([(1.0, 2.0), (None, 1.0), (float("nan"), 0.0)], "a double, b double")
     assert ml.invalid_records(bad, ["a", "b"]).count() == 2
+
+
+def test_ranks_and_running_sums(spark):
+    import random
+
+    from flowloom.operators.ranks import with_rank, with_running
+
+    rng = random.Random(1)
+    rows = [(rng.choice([None, *range(40)]), k) for k in range(500)]
+    out = with_rank(spark.createDataFrame(rows, "a int, b int"), ["a", "b"], slots=7).collect()
+    want = sorted(rows, key=lambda r: (-1 if r[0] is None else r[0], r[1]))
+    assert [(r["a"], r["b"]) for r in sorted(out, key=lambda r: r["rank"])] == want and sorted(r["rank"] for r in out) == list(range(1, 501))
+    values = rng.sample(range(10_000), 300)
+    out = with_running(spark.createDataFrame([(v / 7, v % 5) for v in values], "p double, n int"), "p", {"total": "n"}, slots=9).collect()
+    total = 0
+    for r in sorted(out, key=lambda r: -r["p"]):
+        total += r["n"]
+        assert r["total"] == total
+    assert with_rank(spark.createDataFrame([], "a int, b int"), ["a"]).count() == 0
+
+
+def test_rolling_pairs_equal_the_series(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = []
+    for pair in ("x", "y", "z"):
+        t = 0.0
+        for k in range(60):
+            t += rng.choice([0.0, 3.0, 30.0, 30.0, 200.0, 700.0])
+            rows.append((pair, "d", int(t * 1e6), f"{k:03d}", float(t // 10 * 10)))
+    flows = spark.createDataFrame(rows, "src string, dst string, start_us long, flow_no string, bucket double")
+    out = A.rolling_pairs(flows, 10.0, 300.0).collect()
+    assert len(out) == len({(r[0], r[4]) for r in rows})
+    for r in out:
+        own = sorted(s for p, _, s, _, b in rows if p == r["src"] and r["bucket"] - 300 <= b <= r["bucket"])
+        (want,) = A.interval_stats(spark.createDataFrame([(own,)], "starts array<long>")).collect() if r["bucket"] % 40 == 0 else (None,)
+        assert r["events"] == len(own)
+        if want:
+            assert r["gaps"] == want["gaps"] and r["span"] == pytest.approx(want["span"]) and r["rate"] == pytest.approx(want["rate"])
+            assert r["mean_gap"] == pytest.approx(want["mean_gap"]) and r["cv"] == pytest.approx(want["cv"], abs=1e-6)
+
+
+def test_alerts_have_all_fields(spark):
+    results = spark.createDataFrame([("RECON", "10.0.0.1", 10.0, 0.7, 0.7, "PORT_SCAN", '{"ports":30}', True), ("EXFIL", "10.0.0.1", 10.0, 0.6, 0.9, "X", '{"bytes_out":9}', True), ("C2", "10.0.0.2->10.0.0.9", 10.0, 0.6, 0.6, "S", "{}", True)], "threat_class string, entity string, bucket double, score double, confidence double, subtype string, evidence string, active boolean")
+    flows = spark.createDataFrame([("10.0.0.1", "d1", 1, 80, 6, "f1", 11, 10.0), ("10.0.0.1", "d2", 2, 443, 17, "f2", 12, 10.0), ("10.0.0.1", "d3", 3, 1, 6, "f3", 99, 20.0)], "src string, dst string, src_port int, dst_port int, proto int, flow_no string, end_us long, bucket double")
+    out = {r["source_ip"]: r for r in D.to_alerts(D.fuse(results, "bucket"), 10.0, flows=flows).collect()}
+    a, c = out["10.0.0.1"], out["10.0.0.2"]
+    assert list(a.asDict())[:-1] == D.ALERT and len(D.ALERT) == 21
+    assert (a["flow_id"], a["destination_ip"], a["source_port"], a["destination_port"], a["protocol"]) == ("f2", "d2", 2, 443, "UDP")
+    assert a["risk"] == pytest.approx(0.72) and a["confidence"] == 0.9 and a["evidence"]["RECON"] == '{"ports":30}' and set(a["evidence"]) == {"RECON", "EXFIL", "_fusion"}
+    assert [(x["threat_class"], x["score"]) for x in a["secondary"]] == [("EXFIL", 0.6)]
+    assert (c["flow_id"], c["destination_ip"], c["source_port"], c["protocol"], c["model"]["name"]) == ("10.0.0.2->10.0.0.9", "10.0.0.9", 0, "TCP", "rule-c2")
+    assert D.to_alerts(D.fuse(results), 10.0).where(D.valid_alert()).count() == 2

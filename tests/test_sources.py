@@ -94,6 +94,27 @@ def test_capture_stream(spark, capture):
     assert spark.table("caps").count() == 10
 
 
+def test_capture_stream_reads_late_names(spark, tmp_path):
+    """A file that comes later under a smaller name, or in a folder below, is read too; none is read twice."""
+    pcap.register(spark)
+    one = [(T, pcap.frame("10.0.0.1", "10.0.0.2"))]
+    rows = spark.readStream.format("pcap").load(str(tmp_path / "in"))
+    (tmp_path / "in" / "sub").mkdir(parents=True)
+    for names in (["m.pcap"], ["a.pcap", "z.cap"], ["sub/b.pcap"]):
+        for n in names:
+            pcap.write_pcap(str(tmp_path / "in" / n), one)
+        rows.writeStream.option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).format("parquet").option("path", f"{tmp_path}/out").start().awaitTermination()
+    assert sorted(r[0] for r in spark.read.parquet(f"{tmp_path}/out").select("capture_file").collect()) == ["a.pcap", "b.pcap", "m.pcap", "z.cap"]
+
+
+def test_capture_headers(spark, tmp_path):
+    pcap.write_pcap(str(tmp_path / "a.pcap"), [(T, b"a" * 20), (T + 1, b"b" * 30)], b"\xa1\xb2\x3c\x4d")
+    (tmp_path / "b.pcap").write_bytes((tmp_path / "a.pcap").read_bytes()[:-1])
+    (tmp_path / "c.pcap").write_bytes(b"\x0a\x0d\x0d\x0a" + bytes(40))
+    out = {r["path"][-6:]: tuple(r)[1:] for r in pcap.headers(spark.read.format("binaryFile").load(str(tmp_path))).collect()}
+    assert out["a.pcap"] == ("big", 10**9, 65535, 1, 2, False, None) and out["b.pcap"][4:6] == (1, True) and out["c.pcap"][-1] == "pcapng"
+
+
 
 def test_scenarios(spark):
     counts = {r["scenario"]: r["count"] for r in scenarios(spark, 2).groupBy("scenario").count().collect()}
@@ -107,6 +128,10 @@ def test_sinks(spark, tmp_path):
     assert sinks.append_missing(a, f"{tmp_path}/t", "k").count() == 2
     assert sinks.append_missing(spark.createDataFrame([(2, "y"), (3, "z")], "k int, v string"), f"{tmp_path}/t", "k") is not None
     assert sorted(r["k"] for r in spark.read.parquet(f"{tmp_path}/t").collect()) == [1, 2, 3]
+    with pytest.raises(Exception):
+        sinks.append_missing(spark.createDataFrame([(9,)], "other int"), f"{tmp_path}/t", "other")
+    assert spark.read.parquet(f"{tmp_path}/t").count() == 3
+    assert sinks.read_if_exists(spark, f"{tmp_path}/none", "k int").count() == 0 and sinks.read_if_exists(spark, f"{tmp_path}/t", "k int").count() == 3
     sinks.write_csv(a, f"{tmp_path}/c")
     assert sinks.read_csv(spark, f"{tmp_path}/c", "k int, v string").count() == 2
     sinks.write_json_lines(a, f"{tmp_path}/j")

@@ -46,16 +46,113 @@ def test_first_of_each(spark, folder):
     assert out.count() == 4
 
 
+def scan_and_beacon(seed=0):
+    """Flows of a port scan, a beacon, a host that sends much, a multicast beacon and noise; over 700 seconds."""
+    import random
+
+    rng = random.Random(seed)
+    rows = []
+
+    def flow(src, dst, port, at, size=(100.0, 100.0), syn=False):
+        rows.append((src, dst, port, int(at * 1e6), int((at + 0.5) * 1e6), 3, *size, syn, False, f"{len(rows):05d}"))
+
+    for k in range(60):
+        flow("scanner", "victim", k, 100 + k * 0.05, syn=True)
+    for k in range(22):
+        flow("bot", "server", 8443, 20 + 30 * k)
+        flow("router", "224.0.0.5", 0, 21 + 30 * k)
+    for k in range(30):
+        flow("leak", f"out{k % 4}", 443, 301 + k * 0.2, (9e5, 10.0))
+        flow("leak", f"out{k % 4}", 443, 331 + k * 0.2, (9e5, 10.0))
+    for _ in range(200):
+        flow(f"host{rng.randrange(9)}", f"site{rng.randrange(30)}", rng.choice([80, 443]), rng.uniform(0, 700))
+    return rows
+
+
+def run_service(spark, folder, flows, batches, timing, **options):
+    """The flows in so many batches, in an order that the watermark's delay allows."""
+    s = service.Service(folder, timing, "REPLAY", **options)
+    rows = service.inputs(flows).withColumn("b", F.floor(F.col("ts") / (700.1 / batches)))
+    for k in range(batches):
+        s.each(rows.where(F.col("b") == k).drop("b"), k)
+    s.flush(spark, rows.drop("b").schema)
+    return s
+
+
+SHOWN = ["event_id", "threat_class", "subtype", "source_ip", "destination_ip", "flow_id", "risk", "confidence", "repeats", "bucket"]
+
+
+def test_service_does_not_depend_on_batches(spark, tmp_path):
+    """Fan-outs that span batches, beacons over many buckets, persistence and pauses: one batch and three give the same."""
+    flows = spark.createDataFrame(scan_and_beacon(), FLOWS).cache()
+    timing = service.Timing(20.0, 20.0, 300.0, 300.0, 60.0)
+    once = run_service(spark, f"{tmp_path}/a", flows, 1, timing)
+    often = run_service(spark, f"{tmp_path}/b", flows, 3, timing)
+    want, got = (sorted(tuple(r) for r in s.alerts(spark).select(*SHOWN).collect()) for s in (once, often))
+    assert got == want
+    kinds = {(r[1], r[3]) for r in want}
+    assert {("RECON", "scanner"), ("C2", "bot"), ("EXFIL", "leak")} <= kinds and not [k for k in kinds if k[1] == "router"]
+    ends = sorted(r[9] for r in want if r[1] == "C2")
+    assert all(b - a >= 60 for a, b in zip(ends, ends[1:]))  # the pause of a pair
+    assert max(r[8] for r in want if r[3] == "leak") > 1
+    # A batch that is run again replaces itself.
+    s, rows = service.Service(f"{tmp_path}/c", timing, "REPLAY"), service.inputs(flows)
+    for k, part in ((0, "ts < 400"), (0, "ts < 400"), (1, "ts >= 400")):
+        s.each(rows.where(part), k)
+    s.flush(spark, rows.schema)
+    assert sorted(tuple(r) for r in s.alerts(spark).select(*SHOWN).collect()) == want
+
+
+def test_service_state_ends(spark, tmp_path):
+    """Long after a key's last row nothing of it is kept: neither rows, nor pauses, nor persistence."""
+    flows = spark.createDataFrame([(f"s{k}", f"d{j}", j, k * 10_000_000, k * 10_000_000 + j, 1, 9e6, 1.0, True, False, f"{k}-{j}") for k in range(30) for j in range(4)], FLOWS)
+    s = service.Service(str(tmp_path), service.Timing(10.0, 0.0, 50.0, 50.0, 20.0, 100.0), "REPLAY")
+    rows = service.inputs(flows)
+    for k in range(5):
+        s.each(rows.where((F.col("ts") >= k * 60) & (F.col("ts") < k * 60 + 60)), k)
+    assert len(list((tmp_path / "staged").iterdir())) <= 2
+    (last,) = [p for p in (tmp_path / "state").iterdir() if int(p.name) == max(int(q.name) for q in (tmp_path / "state").iterdir())]
+    assert 0 < spark.read.parquet(f"{last}/fusion").count() <= 6
+    assert len(list((tmp_path / "state").iterdir())) <= 2 and len(list((tmp_path / "marks").glob("*.json"))) <= 3
+    # Rows of a closed bucket are late.
+    before = s.alerts(spark).count()
+    s.each(rows.where("ts < 30"), 5)
+    s.flush(spark, rows.schema)
+    late = s.alerts(spark)
+    assert late.where("bucket < 30").count() == 3 and late.count() >= before
+
+
+def test_service_on_names_sessions_and_a_model(spark, tmp_path):
+    flows = spark.createDataFrame(scan_and_beacon(), FLOWS).withColumns({"syn_count": F.lit(3), "rst_count": F.lit(0), "proto": F.lit(6), "flow_packets_s": F.lit(6.0), "flow_duration_s": F.lit(0.5)})
+    names = spark.createDataFrame([(k, 200.0 + k / 5, "dns1", f"h{k:02d}x7h2q9k4r1t5v8w2y6.badges4all.com", 16) for k in range(8)], "seq long, ts double, src string, qname string, qtype int")
+    tls = spark.createDataFrame([(210.0 + k / 10, "tls1", 443, "f") for k in range(8)], "ts double, src string, dst_port int, fingerprint string")
+    s = service.Service(str(tmp_path), service.Timing(), "REPLAY", model=lambda f: f.withColumn("p", F.when(F.col("src") == "scanner", 0.9).otherwise(0.1)))
+    rows = service.inputs(flows, names, tls)
+    s.each(rows, 0)
+    s.flush(spark, rows.schema)
+    out = {(r["threat_class"], r["source_ip"]): r for r in s.alerts(spark).collect()}
+    assert {("DGA", "dns1"), ("ENCRYPTED_MALWARE", "tls1"), ("DDOS", "scanner"), ("RECON", "scanner")} <= out.keys()
+    d = out["DDOS", "scanner"]
+    assert d["risk"] == 0.9 and d["destination_ip"] == "victim" and '"aggregated_flows":60' in d["evidence"]["DDOS"] and "source_mix" in d["evidence"]["DDOS"]
+    assert "interval_cv" in out["C2", "bot"]["evidence"]["C2"] and out["C2", "bot"]["model"]["name"] == "rule-c2"
+    assert s.status == dict.fromkeys(s.status, "ok")
+
+
 def test_service_and_throughput(spark, tmp_path):
     import json
 
     rows = [("s", f"h{k % 3}", k, 1000 * k, 2000 * k, 3, 9e6, 10.0, True, False, str(k)) for k in range(1, 31)]
-    spark.createDataFrame(rows, FLOWS).coalesce(1).write.parquet(f"{tmp_path}/in")
+    service.inputs(spark.createDataFrame(rows, FLOWS)).coalesce(1).write.parquet(f"{tmp_path}/in")
     listener = service.Throughput()
     spark.streams.addListener(listener)
-    service.serve(stream(spark, f"{tmp_path}/in"), f"{tmp_path}/out").awaitTermination()
+    side = spark.createDataFrame([("INC-0001", "CONTAINED", "me")], "inc_id string, status string, analyst string")
+    s = service.Service(f"{tmp_path}/out", sidecar=lambda: side)
+    rows = stream(spark, f"{tmp_path}/in")
+    service.serve(rows, s).awaitTermination()
+    s.flush(spark, rows.schema)
     doc = json.loads((tmp_path / "out" / "data.json").read_text())
     assert doc["overview"]["classes"] == "EXFIL" and doc["overview"]["alerts"] == 1
+    assert doc["incidents"][0]["status"] == "CONTAINED" and not list((tmp_path / "out").glob("*.part"))
     spark.streams.removeListener(listener)
     assert set(listener.snapshot()) >= {"rows", "batches"}
 
