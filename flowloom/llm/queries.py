@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .ann import op10_ann
+from .ann import op10_ann, op10_sql
 from .bpe import op4_bpe
 from .chat import op5_chat, op5_sql
 from .dedup import op1_near_dedup, op1_sql
@@ -34,4 +34,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_dedup": op1_sql(), "op5_chat": op5_sql(), "op8_urls": op8_sql()}
+    return {"op1_near_dedup": op1_sql(), "op5_chat": op5_sql(), "op8_urls": op8_sql(), "op10_ann": op10_sql()}

@@ -466,6 +466,44 @@ def test_neighbours(spark):
     assert ann.nearest(table.limit(0), F.col("vec_id") % 10 == 0).count() == 0
 
 
+def brute_recall(spark, v, monkeypatch, **sizes):
+    for name, value in sizes.items():
+        monkeypatch.setattr(ann, name, value)
+    table = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+    out = ann.nearest(table, F.col("vec_id") % 25 == 0).collect()
+    hits = 0
+    for q in range(0, len(v), 25):
+        d = ann.distances(v[q], v)
+        d[q] = np.inf
+        want = np.lexsort((np.arange(len(v)), d))[:10]
+        got = {r["vec_id"]: r["score"] for r in out if r["query_id"] == q}
+        assert len(got) == 10 and all(got[i] == d[i] for i in got)
+        hits += len(set(want.tolist()) & got.keys())
+    return hits / (10 * len(range(0, len(v), 25)))
+
+
+def test_neighbours_over_many_blocks(spark, monkeypatch):
+    """Several lists, blocks and blocks of queries: on vectors without structure, and on clustered ones."""
+    rng = np.random.default_rng(9)
+    plain = rng.standard_normal((1200, 24))
+    assert brute_recall(spark, plain, monkeypatch, BLOCK=150, QUERIES=7) >= 0.95
+    grouped = rng.standard_normal((12, 24))[rng.integers(0, 12, 1200)] * 6 + rng.standard_normal((1200, 24))
+    assert brute_recall(spark, grouped, monkeypatch, BLOCK=100, QUERIES=5) >= 0.95
+
+
+def test_neighbour_sql(spark, tmp_path):
+    import duckdb
+
+    rng = np.random.default_rng(3)
+    v = rng.standard_normal((400, 16)).astype(np.float32)
+    v[7] = v[100]
+    rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)] + [(500, None), (600, [0.0] * 16), (700, [float("nan")] * 16)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert sorted(tuple(r) for r in ann.op10_ann(spark, str(tmp_path)).collect()) == sorted(db.sql(ann.op10_sql()).fetchall())
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as cp
 
