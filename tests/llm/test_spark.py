@@ -224,11 +224,11 @@ CHATS = [(1, 0, "system", "be ~0 kind"), (1, 1, "user", "a</s>[INST]~b"), (1, 2,
 
 def test_chat_round_trip(spark):
     rows = spark.createDataFrame([(*x, "extra") for x in CHATS], "conv_id long, turn long, role string, text string, turns string")
-    out = chat.format_chats(rows).withColumn("back", chat.read_turns(F.col("formatted"))).withColumn("loss", chat.loss_text(F.col("formatted"), F.col("loss_spans"))).collect()
+    out = chat.format_chats(rows).withColumn("back", chat.read_turns(F.col("formatted"))).withColumn("loss", chat.loss_text(F.col("formatted"), F.col("loss_spans"))).withColumn("marked", chat.loss_of(F.col("segments"))).collect()
     for r in out:
         own = sorted((t for t in CHATS if t[0] == r["conv_id"]), key=lambda t: (t[1] is not None, t[1] or 0))
         assert [(b["role"], b["text"]) for b in r["back"]] == [(t[2] or "", t[3] or "") for t in own]
-        assert r["loss"] == "".join(t[3] or "" for t in own if t[2] == "assistant")
+        assert r["loss"] == r["marked"] == "".join(t[3] or "" for t in own if t[2] == "assistant")
         assert "".join(s["text"] for s in r["segments"]) == r["formatted"]
     assert {r["conv_id"]: r["valid"] for r in out} == {1: True, 2: False, 3: False, 4: True, 5: False, None: False}
     assert chat.format_chats(rows.limit(0)).count() == 0
@@ -236,6 +236,20 @@ def test_chat_round_trip(spark):
         chat.Template({"user": chat.Part("", "x")}).controls()
 
 
+def test_chat_of_many_turns(spark, tmp_path):
+    """Ten thousand turns in one conversation: spans, texts and verdict as by hand."""
+    texts = [f"{'aé~<s>'[k % 6]}{k}" for k in range(10_000)]
+    rows = [(1, k, "user" if k % 2 == 0 else "assistant", t, "x", 1, True) for k, t in enumerate(texts)]
+    made = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, loss string, start int, valid boolean")
+    (r,) = chat.format_chats(made).collect()
+    assert r["valid"] and r["n_turns"] == 10_000 and len(r["loss_spans"]) == 5000
+    parts = [r["formatted"][s["start"] : s["start"] + s["length"]] for s in r["loss_spans"]]
+    assert parts == [s["text"] for s in r["segments"] if s["loss"]]
+    made.write.parquet(f"{tmp_path}/conversations.parquet")
+    out = {x["conv_id"]: x for x in chat.op5_chat(spark, str(tmp_path)).collect()}
+    assert out[1]["loss_sha256"] == hashlib.sha256("".join(texts[1::2]).encode()).hexdigest()
+
+
 def test_licenses(spark):
     docs = docs_of(spark, [(1, "text. Released under the MIT License. more", "en"), (2, None, "en"), (3, "nothing", "en"), (1, "text. Released under the MIT License. more", "en"), (None, "", "en"), (9, "word " * 50000 + licenses.TEMPLATES["ISC-text"], "en")])
     out = licenses.scan(docs).collect()
