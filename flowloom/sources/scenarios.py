@@ -1,4 +1,4 @@
-"""Seven synthetic scenarios as packet tables, from a range and deterministic expressions."""
+"""Seven synthetic scenarios as packet tables, and traffic of any size, from a range and deterministic expressions."""
 
 from __future__ import annotations
 
@@ -33,3 +33,26 @@ def scenarios(spark: SparkSession, scale: int = 1) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def traffic(spark: SparkSession, packets: int, captures: int = 50, hosts: int = 2000) -> DataFrame:
+    """Dissected records of so many captures: hosts that talk to servers in both directions, some mirrored, a few broken."""
+    i = F.col("id")
+    number, h = F.floor(i / captures) + 1, F.pmod(F.xxhash64("id"), F.lit(1 << 30))
+    # A third of the frames repeats the one before, a microsecond later.
+    of = F.when(number % 3 == 0, number - 1).otherwise(number)
+    mixed = F.pmod(F.xxhash64(of, i % captures), F.lit(1 << 30))
+    client, server = F.concat(F.lit("10.0."), F.floor(mixed % hosts / 250).cast("string"), F.lit("."), (mixed % hosts % 250).cast("string")), F.concat(F.lit("192.168.1."), (mixed % 40).cast("string"))
+    back = F.floor(mixed / 64) % 3 == 0
+    proto, size = F.when(mixed % 5 == 0, 17).otherwise(6), (F.floor(mixed / 7) % 1400).cast("int")
+    cport, sport = (1024 + mixed % hosts).cast("int"), F.when(mixed % 2 == 0, 443).otherwise(80)
+
+    def way(a: Column, b: Column) -> Column:
+        return F.when(back, b).otherwise(a)
+
+    return spark.range(packets).select(
+        F.concat(F.lit("cap"), (i % captures).cast("string")).alias("capture_file"), number.alias("pkt_no"), (F.lit(START) + of * 4000 + F.when(number % 3 == 0, 1).otherwise(0)).alias("ts_us"),
+        (size + 54).alias("incl_len"), (size + 54).cast("long").alias("orig_len"), F.when(h % 997 == 0, "malformed").otherwise("parsed").alias("status"), F.lit(0).alias("vlan_tags"), proto.alias("proto"),
+        way(client, server).alias("src"), way(server, client).alias("dst"), way(cport, sport).cast("int").alias("sport"), way(sport, cport).cast("int").alias("dport"), F.when(proto == 6, (F.lit(1) * (1 << 4) + mixed % 8).cast("int")).otherwise(0).alias("tcp_flags"),
+        F.lit(1024).alias("win"), F.lit(20).alias("ip_hdr_len"), F.when(proto == 6, 20).otherwise(8).alias("l4_hdr_len"), (size + 40).alias("ip_total"), size.alias("payload_len"), mixed.cast("string").cast("binary").alias("ident"),
+    )

@@ -121,6 +121,16 @@ def test_scenarios(spark):
     assert counts == {"benign": 80, "c2": 24, "dga": 20, "tunnel": 12, "scan": 60, "exfil": 120, "tls_rep": 16}
 
 
+def test_traffic_makes_flows(spark):
+    from flowloom.operators.flows import extract
+    from flowloom.sources.scenarios import traffic
+
+    records = traffic(spark, 3000, 5, 20)
+    flows = extract(records)
+    (r,) = flows.selectExpr("count(DISTINCT capture_file) AS c", "sum(n_packets) AS n", "max(bwd_packets) AS b").collect()
+    assert r["c"] == 5 and r["b"] > 0 and 1900 < r["n"] < 2100
+
+
 def test_sinks(spark, tmp_path):
     from flowloom.sources import sinks
 

@@ -69,25 +69,20 @@ def scan_and_beacon(seed=0):
     return rows
 
 
-def run_service(spark, folder, flows, batches, timing, **options):
-    """The flows in so many batches, in an order that the watermark's delay allows."""
-    s = service.Service(folder, timing, "REPLAY", **options)
-    rows = service.inputs(flows).withColumn("b", F.floor(F.col("ts") / (700.1 / batches)))
-    for k in range(batches):
-        s.each(rows.where(F.col("b") == k).drop("b"), k)
-    s.flush(spark, rows.drop("b").schema)
-    return s
-
-
 SHOWN = ["event_id", "threat_class", "subtype", "source_ip", "destination_ip", "flow_id", "risk", "confidence", "repeats", "bucket"]
 
 
 def test_service_does_not_depend_on_batches(spark, tmp_path):
-    """Fan-outs that span batches, beacons over many buckets, persistence and pauses: one batch and three give the same."""
+    """Fan-outs that span batches, beacons over many buckets, persistence and pauses: one batch and several give the same."""
     flows = spark.createDataFrame(scan_and_beacon(), FLOWS).cache()
     timing = service.Timing(20.0, 20.0, 300.0, 300.0, 60.0)
-    once = run_service(spark, f"{tmp_path}/a", flows, 1, timing)
-    often = run_service(spark, f"{tmp_path}/b", flows, 3, timing)
+    rows = service.inputs(flows)
+    once, often = (service.Service(f"{tmp_path}/{n}", timing, "REPLAY") for n in "ab")
+    once.each(rows, 0, last=True)
+    # A batch that is run again replaces itself.
+    for k, part in ((0, "ts < 330"), (0, "ts < 330"), (1, "ts >= 330")):
+        often.each(rows.where(part), k)
+    often.flush(spark, rows.schema)
     want, got = (sorted(tuple(r) for r in s.alerts(spark).select(*SHOWN).collect()) for s in (once, often))
     assert got == want
     kinds = {(r[1], r[3]) for r in want}
@@ -95,12 +90,6 @@ def test_service_does_not_depend_on_batches(spark, tmp_path):
     ends = sorted(r[9] for r in want if r[1] == "C2")
     assert all(b - a >= 60 for a, b in zip(ends, ends[1:]))  # the pause of a pair
     assert max(r[8] for r in want if r[3] == "leak") > 1
-    # A batch that is run again replaces itself.
-    s, rows = service.Service(f"{tmp_path}/c", timing, "REPLAY"), service.inputs(flows)
-    for k, part in ((0, "ts < 400"), (0, "ts < 400"), (1, "ts >= 400")):
-        s.each(rows.where(part), k)
-    s.flush(spark, rows.schema)
-    assert sorted(tuple(r) for r in s.alerts(spark).select(*SHOWN).collect()) == want
 
 
 def test_service_state_ends(spark, tmp_path):
@@ -108,15 +97,15 @@ def test_service_state_ends(spark, tmp_path):
     flows = spark.createDataFrame([(f"s{k}", f"d{j}", j, k * 10_000_000, k * 10_000_000 + j, 1, 9e6, 1.0, True, False, f"{k}-{j}") for k in range(30) for j in range(4)], FLOWS)
     s = service.Service(str(tmp_path), service.Timing(10.0, 0.0, 50.0, 50.0, 20.0, 100.0), "REPLAY")
     rows = service.inputs(flows)
-    for k in range(5):
-        s.each(rows.where((F.col("ts") >= k * 60) & (F.col("ts") < k * 60 + 60)), k)
+    for k in range(3):
+        s.each(rows.where((F.col("ts") >= k * 100) & (F.col("ts") < k * 100 + 100)), k)
     assert len(list((tmp_path / "staged").iterdir())) <= 2
     (last,) = [p for p in (tmp_path / "state").iterdir() if int(p.name) == max(int(q.name) for q in (tmp_path / "state").iterdir())]
     assert 0 < spark.read.parquet(f"{last}/fusion").count() <= 6
     assert len(list((tmp_path / "state").iterdir())) <= 2 and len(list((tmp_path / "marks").glob("*.json"))) <= 3
     # Rows of a closed bucket are late.
     before = s.alerts(spark).count()
-    s.each(rows.where("ts < 30"), 5)
+    s.each(rows.where("ts < 30"), 3)
     s.flush(spark, rows.schema)
     late = s.alerts(spark)
     assert late.where("bucket < 30").count() == 3 and late.count() >= before
@@ -128,8 +117,7 @@ def test_service_on_names_sessions_and_a_model(spark, tmp_path):
     tls = spark.createDataFrame([(210.0 + k / 10, "tls1", 443, "f") for k in range(8)], "ts double, src string, dst_port int, fingerprint string")
     s = service.Service(str(tmp_path), service.Timing(), "REPLAY", model=lambda f: f.withColumn("p", F.when(F.col("src") == "scanner", 0.9).otherwise(0.1)))
     rows = service.inputs(flows, names, tls)
-    s.each(rows, 0)
-    s.flush(spark, rows.schema)
+    s.each(rows, 0, last=True)
     out = {(r["threat_class"], r["source_ip"]): r for r in s.alerts(spark).collect()}
     assert {("DGA", "dns1"), ("ENCRYPTED_MALWARE", "tls1"), ("DDOS", "scanner"), ("RECON", "scanner")} <= out.keys()
     d = out["DDOS", "scanner"]
