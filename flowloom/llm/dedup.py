@@ -299,14 +299,8 @@ def _verified_forest(groups: DataFrame, sk: DataFrame, texts: DataFrame, k: int,
     return dealt.groupBy("group", "i", "j").applyInArrow(run, "x long, y long").distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of every row.
-
-    Linked: 100 * intersection >= ``percent`` * union of the sets. ``component_id`` is the least id
-    that links reach.
-    """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "snappy")  # many small tables: no native buffers for each
+def _grouped(docs: DataFrame, scratch: Scratch, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The sketches of every row, and ``key, component_id, root`` of every set."""
     threshold = percent / 100
     sk = scratch.save(sketches(docs, shingle), "sketches")
     ids = sk.groupBy("key").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("low")).where("key is not null")
@@ -340,8 +334,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     scratch.drop(texts, members, rest)
     named = classes.join(comps, classes["uid"] == comps["node"], "left").select("key", "low", F.coalesce("root", "uid").alias("root"))
     lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    of_key = named.join(lows, "root").select("key", "component_id")
-    out = sk.select("doc_id", "n", "key").join(of_key, "key", "left")
+    return sk, named.join(lows, "root").select("key", "component_id", "root")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` of every row.
+
+    Linked: 100 * intersection >= ``percent`` * union of the sets. ``component_id`` is the least id
+    that links reach.
+    """
+    scratch = Scratch(docs.sparkSession, "snappy")  # many small tables: no native buffers for each
+    sk, of_key = _grouped(docs, scratch, shingle, percent)
+    return _rows_of(sk, of_key)
+
+
+def _rows_of(sk: DataFrame, of_key: DataFrame) -> DataFrame:
+    out = sk.select("doc_id", "n", "key").join(of_key.select("key", "component_id"), "key", "left")
     comp = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(False)).alias("kept"))
 
@@ -381,19 +389,40 @@ def _texts(docs: DataFrame, sk: DataFrame, need: DataFrame, k: int) -> DataFrame
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that represent their group, with all their columns.
+    """One document of each group, that of the least id, with all its columns.
 
-    Documents without an id are kept. Rows that repeat both id and text are kept once; of rows that
-    share an id but not the text all are kept if one represents its group.
+    Ids that one row has decide by themselves. Of rows without an id, and of rows that share one, a group keeps
+    the one of the least set key if its least id is theirs (null only where no other row has one); texts
+    without a word are linked with nothing: those that share an id are kept once, those without one all.
     """
-    scratch = Scratch(docs.sparkSession)
-    ids = scratch.save(near_duplicates(docs, shingle, percent).where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("rows")), "kept")
-    dropped = scratch.save(ids.where(~F.col("kept")).select("doc_id"), "dropped")
-    out = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
-    again = ids.where("kept and rows > 1").select("doc_id")
-    if again.isEmpty():
+    scratch = Scratch(docs.sparkSession, "snappy")
+    sk, of_key = _grouped(docs, scratch, shingle, percent)
+    of_key = scratch.save(of_key, "groups")
+    each = _rows_of(sk, of_key).where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("rows"))
+    ids = scratch.save(each, "kept")
+    gone = scratch.save(ids.where("not kept or rows > 1").select("doc_id"), "dropped")
+    out = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").select(*docs.columns)
+    again = ids.where("rows > 1").select("doc_id")
+    unclear = docs.where("doc_id is null").union(docs.join(again, "doc_id", "left_semi").select(*docs.columns))
+
+    def make():
+        def fn(b: pa.RecordBatch) -> pa.RecordBatch:
+            sets = (shingle_set((t or b""), shingle) for t in b.column(2).to_pylist())
+            return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([hashlib.md5(s.tobytes()).digest() if len(s) else None for s in sets], pa.binary())], names=["row", "id", "key"])
+
+        return fn
+
+    packed = unclear.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text"))
+    schema = packed.select("row", "id", F.lit(None).cast("binary").alias("key")).schema
+    keyed = scratch.save(map_arrow(packed, schema, make), "unclear")
+    if keyed.isEmpty():
         return out
-    return out.join(again, "doc_id", "left_anti").select(*docs.columns).union(out.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns))
+    own = keyed.join(of_key, "key").where(F.col("id").eqNullSafe(F.col("component_id")))
+    chosen = own.groupBy("root").agg(F.min_by("row", "key").alias("row"))
+    blank = keyed.where("key is null")
+    once = blank.where("id is not null").groupBy("id").agg(F.first("row").alias("row"))
+    rest = chosen.select("row").union(once.select("row")).union(blank.where("id is null").select("row"))
+    return out.union(rest.select("row.*"))
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

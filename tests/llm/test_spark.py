@@ -78,10 +78,16 @@ def test_blocks_link_large_buckets(spark, monkeypatch):
 
 def test_keep_one(spark):
     rows = corpus()
+    # Copies without an id, of a text that no other row has; an id with two texts, one of them another's copy.
+    rows += [(None, "alone again " * 9, "en")] * 3 + [(3000, "a text of its own here", "en"), (3000, rows[5][1], "en"), (3000, "a text of its own here", "en"), (None, "", "en"), (None, None, "en"), (3001, "", "en"), (3001, "", "en")]
     out = dedup.keep_one(docs_of(spark, rows), 2)
     assert out.columns == [c.split()[0] for c in DOCS.split(", ")]
-    want = sorted(i for i, _, c in brute_components(rows, 2) if i is not None and i == c)
-    assert sorted(r["doc_id"] for r in out.where("doc_id is not null").collect()) == sorted(set(want))
+    want = sorted(i for i, _, c in set(brute_components(rows, 2)) if i is not None and i == c)
+    got = out.collect()
+    assert sorted(r["doc_id"] for r in got if r["doc_id"] is not None) == sorted(set(want))
+    assert sorted(r["text"] or "" for r in got if r["doc_id"] is None) == ["", "", "alone again " * 9, "alone here"]
+    assert [r["text"] for r in got if r["doc_id"] == 3000] == ["a text of its own here"]
+    assert dedup.keep_one(docs_of(spark, []), 2).count() == 0
 
 
 def test_quality(spark):
