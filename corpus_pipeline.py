@@ -3,6 +3,11 @@
 Each stage takes ``(spark, docs, sf_dir)``, works on all that its predecessor kept and returns a
 DataFrame, which ``run`` writes as Parquet and reads again as the next stage's ``docs``. All stages
 but the last return the columns of ``documents``.
+
+Inputs and edge cases: null and empty texts have too few words for the quality rules and go there; a null id is
+carried along, decided by its text and packed as null; texts of any length are read whole; repeated rows are
+copies, of which one stays; without labels only the base quality rules reject and nothing is toxic; an
+empty table gives an empty result; further columns of any name are carried through to the packing stage.
 """
 
 from __future__ import annotations
@@ -31,7 +36,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the remaining documents in sequences of at most 2048 tokens."""
+    """Pieces of the remaining documents in sequences of at most 2048 tokens, 2048 documents and a cost of 2048 squared."""
     import public_tokenizers
 
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))

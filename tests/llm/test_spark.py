@@ -544,6 +544,26 @@ def test_pipeline_stages(spark, tmp_path):
         assert f(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).columns == docs.columns
 
 
+def test_pipeline_edges(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows, no labels, clashing columns; and empty tables."""
+    import corpus_pipeline as cp
+
+    words = [f"w{k}" for k in range(90)]
+    texts = {i: " ".join(random.Random(i).choices(words, k=40)) for i in range(20)}
+    rows = [(i, t, None if i % 2 else "en") for i, t in texts.items()] + [(3, texts[3], "en"), (50, None, "en"), (51, "", None), (None, texts[4], "en"), (None, "only " + texts[5][::-1], "en"), (60, " ".join(f"x{k}" for k in range(30_000)), "en")]
+    docs = docs_of(spark, rows).withColumnsRenamed({"uid": "features", "key": "_stratum", "n": "row"})
+    docs.write.parquet(f"{tmp_path}/a/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/a/labels.parquet")
+    out = cp.run(spark, f"{tmp_path}/a").collect()
+    assert {r["doc_id"] for r in out} == {*range(20), 60, None} and sum(r["doc_id"] is None for r in out) == 1
+    assert sum(r["piece"] == 0 for r in out) == 22
+    stage = cp.near_dedup(spark, docs, "")
+    assert stage.columns == docs.columns
+    docs.limit(0).write.parquet(f"{tmp_path}/b/documents.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/b/labels.parquet")
+    assert cp.run(spark, f"{tmp_path}/b").count() == 0
+
+
 def test_op5_equals_hashlib(spark, tmp_path):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (1, 2, "assistant", "ye")]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
