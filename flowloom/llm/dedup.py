@@ -307,7 +307,8 @@ def _grouped(docs: DataFrame, scratch: Scratch, shingle: int, percent: int) -> t
     classes = scratch.save(ids, "classes")
     reps = sk.join(classes.select("uid"), "uid", "left_semi")
     bands = reps.select("uid", F.explode(F.array(*[F.xxhash64(F.lit(b), F.substring("regs", 2 * ROWS * b + 1, 2 * ROWS)) for b in range(BANDS)])).alias("bucket"))
-    shared = bands.groupBy("bucket").agg(F.count("*").alias("size"), F.min("uid").alias("pivot")).where("size > 1")
+    # Written first, so that its size is known: where it is small, the bands are not dealt by bucket at all.
+    shared = scratch.save(bands.groupBy("bucket").agg(F.count("*").alias("size"), F.min("uid").alias("pivot")).where("size > 1"), "shared")
     members = scratch.save(bands.join(shared, "bucket").select("bucket", "uid", "pivot", "size"), "members")
     slim = sk.select("uid", "n", "regs")
 
@@ -319,8 +320,9 @@ def _grouped(docs: DataFrame, scratch: Scratch, shingle: int, percent: int) -> t
     comps = scratch.save(components(scratch, links), "components")
     # Components of the pairs that passed the estimate; only buckets that hold several need more estimates.
     near = scratch.save(components(scratch, first), "near")
-    large = _labelled(members.where("size > 2").select("bucket", "uid", "size"), near)
-    rest = scratch.save(large.join(_mixed(large, "bucket"), "bucket", "left_semi"), "rest")
+    large = scratch.save(_labelled(members.where("size > 2").select("bucket", "uid", "size"), near), "large")
+    mixed = scratch.save(_mixed(large, "bucket"), "mixed")
+    rest = scratch.save(large.join(mixed, "bucket", "left_semi"), "rest")
     more = scratch.save(_estimated_forest(rest, slim, threshold), "pairs")
     if not more.isEmpty():
         near = scratch.save(components(scratch, first.union(more)), "near")
@@ -331,7 +333,7 @@ def _grouped(docs: DataFrame, scratch: Scratch, shingle: int, percent: int) -> t
     if not groups.isEmpty():
         links = links.union(scratch.save(_verified_forest(groups, slim, texts, shingle, percent), "links"))
         comps = scratch.save(components(scratch, links), "components")
-    scratch.drop(texts, members, rest)
+    scratch.drop(texts, members, rest, large)
     named = classes.join(comps, classes["uid"] == comps["node"], "left").select("key", "low", F.coalesce("root", "uid").alias("root"))
     lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
     return sk, named.join(lows, "root").select("key", "component_id", "root")
