@@ -47,6 +47,21 @@ def test_query(spark, duck, name):
     assert got == want
 
 
+def test_pair_series_has_every_pair(spark, tmp_path):
+    """Users 255 and 511 get addresses that end in 255."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("SET timezone = 'UTC'")
+    con.execute("""CREATE TABLE events AS SELECT i AS event_id, TIMESTAMP '2024-01-01' + to_hours(i * 30) AS ts, [7, 255, 511][1 + i % 3] AS user_id,
+      ['error', 'view', 'click'][1 + (i // 3) % 3] AS event_type, i * 1.5 AS value, '{"k": ' || i % 5 || '}' AS props FROM range(40) t(i)""")
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    key = ("src", "dst", "starts", "bytes_out", "bytes_in")
+    got = sorted(tuple(plain(r[c]) for c in key) for r in catalogue.QUERIES["pair_series"](spark, str(tmp_path)).collect())
+    want = sorted(tuple(map(plain, r)) for r in con.execute(f"SELECT {', '.join(key)} FROM ({catalogue.ORACLE['pair_series']})").fetchall())
+    assert got == want and any(r[1].endswith(".255") for r in got)
+
+
 def test_entry_imports():
     import __spark_entry__ as entry
 
