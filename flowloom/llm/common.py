@@ -107,6 +107,31 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.to_pylist()]
 
 
+#: Bits of a map of keys: for each key, and at most (8 MB).
+KEY_BITS, MOST_BITS = 32, 1 << 26
+
+
+def parted(rows: DataFrame, column: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` whose ``column`` is surely none of ``keys`` (one column), and those where it may be one.
+
+    Each key sets the bit of its hash in a map that is broadcast, of bounded size. What shares a bit with a key goes
+    to the second part, which a join with ``keys`` has to settle; only that part has to be shuffled. ``keys`` is
+    read twice.
+    """
+    bits = min(MOST_BITS, 1 << max(15, (KEY_BITS * keys.count()).bit_length()))
+    part, mask = "_part", "_mask"
+    while {part, mask} & {c.lower() for c in rows.columns}:
+        part, mask = part + "_", mask + "_"
+    at = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(bits))
+    set_bits = keys.select(F.shiftright(at(keys.columns[0]), 15).alias(part), at(keys.columns[0]).bitwiseAND(32767).alias("bit"))
+    maps = set_bits.repartition(part).groupBy(part).agg(F.bitmap_construct_agg("bit").alias(mask))
+    bit = at(column).bitwiseAND(32767)
+    byte = F.conv(F.hex(F.substring(mask, F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    found = F.coalesce(F.getbit(byte, bit.bitwiseAND(7)) == 1, F.lit(False))
+    both = rows.withColumn(part, F.shiftright(at(column), 15)).join(F.broadcast(maps), part, "left")
+    return both.where(~found).select(*rows.columns), both.where(found).select(*rows.columns)
+
+
 def crc_mod(doc_id: str, mod: int) -> "F.Column":
     """``crc32`` of the decimal id as text, modulo ``mod``; null ids count as the empty string."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % mod

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, arrow_session, map_arrow, mix64, table
+from .common import Scratch, WordHashes, arrow_session, map_arrow, mix64, parted, table
 
 BUCKETS, MANTISSA = 256, 10
 BANDS, ROWS = 42, 6
@@ -300,22 +300,33 @@ def _verified_forest(groups: DataFrame, sk: DataFrame, texts: DataFrame, k: int,
 
 
 def _grouped(docs: DataFrame, scratch: Scratch, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The sketches of every row, and ``key, component_id, root`` of every set."""
+    """``uid, doc_id, n, key`` of every row, and ``key, component_id, root`` of every set.
+
+    Registers and texts are wide: of them, only the rows that some pair may need are shuffled.
+    """
     threshold = percent / 100
     sk = scratch.save(sketches(docs, shingle), "sketches")
     ids = sk.groupBy("key").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("low")).where("key is not null")
     classes = scratch.save(ids, "classes")
-    reps = sk.join(classes.select("uid"), "uid", "left_semi")
+    rows = scratch.save(sk.select("uid", "doc_id", "n", "key"), "rows")
+    copies = scratch.save(rows.where("key is not null").select("uid").join(classes.select("uid"), "uid", "left_anti"), "copies")
+    single, unsure = parted(sk.where("key is not null").select("uid", "regs"), "uid", copies)
+    reps = single.union(unsure.join(copies, "uid", "left_anti"))
     bands = reps.select("uid", F.explode(F.array(*[F.xxhash64(F.lit(b), F.substring("regs", 2 * ROWS * b + 1, 2 * ROWS)) for b in range(BANDS)])).alias("bucket"))
     # Written first, so that its size is known: where it is small, the bands are not dealt by bucket at all.
     shared = scratch.save(bands.groupBy("bucket").agg(F.count("*").alias("size"), F.min("uid").alias("pivot")).where("size > 1"), "shared")
-    members = scratch.save(bands.join(shared, "bucket").select("bucket", "uid", "pivot", "size"), "members")
-    slim = sk.select("uid", "n", "regs")
+    _, several = parted(bands, "bucket", shared.select("bucket"))
+    members = scratch.save(several.join(shared, "bucket").select("bucket", "uid", "pivot", "size"), "members")
+    ends = scratch.save(members.select("uid").distinct(), "ends")
+    _, found = parted(sk.select("uid", "n", "regs"), "uid", ends)
+    slim = scratch.save(found.join(ends, "uid", "left_semi"), "slim")
+    scratch.drop(sk)
 
     first = scratch.save(_estimated(_first_pairs(members), slim, threshold), "pairs")
     # One pass over the texts serves both verifications: large buckets may need theirs later on.
     need = _ends(first).union(members.where("size > 2").select("uid")).distinct()
-    texts = scratch.save(_texts(docs, sk, need, shingle), "texts")
+    wanted = scratch.save(rows.join(need, "uid", "left_semi").select("uid", F.col("doc_id").alias("_id"), "key"), "wanted")
+    texts = scratch.save(_texts(docs, wanted, shingle), "texts")
     links = scratch.save(_verified(first, texts, shingle, percent), "links")
     comps = scratch.save(components(scratch, links), "components")
     # Components of the pairs that passed the estimate; only buckets that hold several need more estimates.
@@ -333,10 +344,10 @@ def _grouped(docs: DataFrame, scratch: Scratch, shingle: int, percent: int) -> t
     if not groups.isEmpty():
         links = links.union(scratch.save(_verified_forest(groups, slim, texts, shingle, percent), "links"))
         comps = scratch.save(components(scratch, links), "components")
-    scratch.drop(texts, members, rest, large)
+    scratch.drop(texts, members, rest, large, slim)
     named = classes.join(comps, classes["uid"] == comps["node"], "left").select("key", "low", F.coalesce("root", "uid").alias("root"))
     lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    return sk, named.join(lows, "root").select("key", "component_id", "root")
+    return rows, named.join(lows, "root").select("key", "component_id", "root")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -346,12 +357,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     that links reach.
     """
     scratch = Scratch(docs.sparkSession, "snappy")  # many small tables: no native buffers for each
-    sk, of_key = _grouped(docs, scratch, shingle, percent)
-    return _rows_of(sk, of_key)
+    rows, of_key = _grouped(docs, scratch, shingle, percent)
+    return _rows_of(rows, of_key)
 
 
-def _rows_of(sk: DataFrame, of_key: DataFrame) -> DataFrame:
-    out = sk.select("doc_id", "n", "key").join(of_key.select("key", "component_id"), "key", "left")
+def _rows_of(rows: DataFrame, of_key: DataFrame) -> DataFrame:
+    out = rows.select("doc_id", "n", "key").join(of_key.select("key", "component_id"), "key", "left")
     comp = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(False)).alias("kept"))
 
@@ -371,14 +382,14 @@ def _mixed(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select(key)
 
 
-def _texts(docs: DataFrame, sk: DataFrame, need: DataFrame, k: int) -> DataFrame:
-    """``uid, text`` of the classes in ``need``; rows that share an id but not the set go by their key.
+def _texts(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """``uid, text`` of the classes in ``wanted`` (``uid, _id, key``); rows that share an id but not the set go by their key.
 
-    What is wanted grows with the documents, so both are dealt by id at every size.
+    What is wanted grows with the documents, so both are dealt by id at every size; rows of other ids stay out of that.
     """
-    wanted = sk.join(need, "uid", "left_semi").select("uid", F.col("doc_id").alias("_id"), "key").hint("merge")
     raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    both = raw.join(wanted, raw["doc_id"].eqNullSafe(wanted["_id"])).select("uid", "key", "text")
+    _, raw = parted(raw, "doc_id", wanted.select("_id"))
+    both = raw.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id"))).select("uid", "key", "text")
 
     def make():
         def fn(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -398,14 +409,16 @@ def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     without a word are linked with nothing: those that share an id are kept once, those without one all.
     """
     scratch = Scratch(docs.sparkSession, "snappy")
-    sk, of_key = _grouped(docs, scratch, shingle, percent)
+    rows, of_key = _grouped(docs, scratch, shingle, percent)
     of_key = scratch.save(of_key, "groups")
-    each = _rows_of(sk, of_key).where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("rows"))
+    each = _rows_of(rows, of_key).where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("rows"))
     ids = scratch.save(each, "kept")
     gone = scratch.save(ids.where("not kept or rows > 1").select("doc_id"), "dropped")
-    out = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").select(*docs.columns)
+    stay, unsure = parted(docs.where("doc_id is not null"), "doc_id", gone)
+    out = stay.union(unsure.join(gone, "doc_id", "left_anti").select(*docs.columns))
     again = ids.where("rows > 1").select("doc_id")
-    unclear = docs.where("doc_id is null").union(docs.join(again, "doc_id", "left_semi").select(*docs.columns))
+    _, repeated = parted(docs, "doc_id", again)
+    unclear = docs.where("doc_id is null").union(repeated.join(again, "doc_id", "left_semi").select(*docs.columns))
 
     def make():
         def fn(b: pa.RecordBatch) -> pa.RecordBatch:

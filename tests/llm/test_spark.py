@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from flowloom.llm import ann, bpe, chat, dedup, licenses, packing, ppm, quality, toxicity, urls  # noqa: E402
+from flowloom.llm import ann, bpe, chat, common, dedup, licenses, packing, ppm, quality, toxicity, urls  # noqa: E402
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, uid long, key string, n long, kept string"
@@ -90,6 +90,44 @@ def test_keep_one(spark):
     assert dedup.keep_one(docs_of(spark, []), 2).count() == 0
 
 
+def shuffled(spark):
+    """Bytes that stages have written for shuffles so far, by stage."""
+    gate = spark.sparkContext._gateway
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gate.new_array(gate.jvm.double, 0), gate.jvm.java.util.ArrayList())
+    return {(s := stages.apply(k)).stageId(): s.shuffleWriteBytes() for k in range(stages.size())}
+
+
+def test_keep_one_shuffles_only_the_texts_of_candidates(spark):
+    """Also where no join may broadcast, as on large tables."""
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"{rng.getrandbits(64):x}" for _ in range(600)), "en") for i in range(400)]
+    rows += [(1000 + i, rows[i][1], "en") for i in range(8)] + [(2000 + i, rows[i][1] + " end", "en") for i in range(4, 12)]
+    docs = docs_of(spark, rows)
+    before, limit = max(shuffled(spark), default=-1), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = {r["doc_id"] for r in dedup.keep_one(docs, 5).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert kept == set(range(400))
+    assert sum(b for k, b in shuffled(spark).items() if k > before) < 0.5 * sum(len(t) for _, t, _ in rows)
+
+
+def test_parted_rows(spark, monkeypatch):
+    """No key's row is taken for another; more rows than bits only make the second part longer."""
+    keys = spark.range(0, 50_000, 7).selectExpr("id AS k").union(spark.sql("SELECT CAST(NULL AS BIGINT)"))
+    rows = spark.range(50_000).selectExpr("id", "-id AS _PART", "'x' AS _mask").union(spark.sql("SELECT CAST(NULL AS BIGINT), 1L, 'y'"))
+    for most in (common.MOST_BITS, 1 << 15):
+        monkeypatch.setattr(common, "MOST_BITS", most)
+        none, some = common.parted(rows, "id", keys)
+        assert none.columns == some.columns == rows.columns
+        a, b = ([r["id"] for r in part.collect()] for part in (none, some))
+        assert sorted(a + b, key=str) == sorted([*range(50_000), None], key=str) and None in b
+        assert not any(i % 7 == 0 for i in a) and len(b) < (9_000 if most > 1 << 15 else 20_000)
+    none, some = common.parted(rows, "id", keys.limit(0))
+    assert (none.count(), some.count()) == (50_001, 0)
+
+
 def test_quality(spark):
     rng = random.Random(1)
     words = [f"w{k}" for k in range(500)]
